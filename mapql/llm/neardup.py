@@ -38,7 +38,7 @@ BATCH = 32
 MISS = 1e-6
 #: Texts of a band that are compared in one go, and partners that a question passes on at first.
 BLOCK = 1024
-PARTNERS = 8
+PARTNERS = 1
 
 _random = np.random.default_rng(8191)
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
