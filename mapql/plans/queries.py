@@ -123,7 +123,7 @@ _CROSS = "((ay > lat) <> (cy > lat)) AND lon < CAST(bx - ax AS DOUBLE) * (lat -
 ask("poly_nodes", 'node(poly:"44.2 -92.9 45.5 -92.9 45.5 -91.5"); out;', f", p(ay, ax, cy, bx) AS (VALUES (442000000::BIGINT, -929000000::BIGINT, 455000000::BIGINT, -929000000::BIGINT), (455000000, -929000000, 455000000, -915000000), (455000000, -915000000, 442000000, -929000000)) SELECT 'node' AS type, id FROM node, p WHERE {_CROSS} GROUP BY id HAVING count(*) % 2 = 1")
 _IN = f", hit AS (SELECT node.id, seg.id AS area FROM node, seg WHERE seg.id IN (SELECT id FROM ring WHERE id IN (10, 20, 25, 30, 35)) AND {_CROSS} GROUP BY ALL HAVING count(*) % 2 = 1) "
 ask("area_nodes", "way(10,20,25,30,35); node(area); out;", _IN + "SELECT DISTINCT 'node' AS type, id FROM hit")
-ask("area_ways_vertex", "way(10,20,25,30,35); way(area); out;", _IN + "SELECT DISTINCT 'way' AS type, ref.id FROM ref JOIN hit ON hit.id = ref.ref WHERE ref.id IN (SELECT id FROM bounds)")
+ask("area_ways_vertex", "way(10,20,25,30,35); way(area); out;", _IN + "SELECT DISTINCT 'way' AS type, ref.id FROM ref JOIN hit ON hit.id = ref.ref WHERE ref.id IN (SELECT id FROM seg)")
 ask("is_in", "is_in(44.9,-92.1); out;", f", q AS (SELECT 449000000::BIGINT AS lat, -921000000::BIGINT AS lon) SELECT 'way' AS type, id FROM seg, q WHERE id IN (SELECT id FROM ring) AND {_CROSS} GROUP BY id HAVING count(*) % 2 = 1")
 ask("pivot", "way(id:10,11,20,25)->.a; way(pivot.a); out;", "SELECT 'way' AS type, id FROM ring WHERE id IN (10, 11, 20, 25)")
 ask("map_to_area", "way(id:10,11,20,25); map_to_area; out;", "SELECT 'way' AS type, id FROM ring WHERE id IN (10, 11, 20, 25)")

@@ -11,14 +11,16 @@ from pyspark.sql import types as T
 E7 = 10_000_000
 AREA_BASE = 3_600_000_000
 
-POINT = "struct<lat_e7:int,lon_e7:int>"
-CANONICAL = (
-    "type string, id long, cell string, lat_e7 int, lon_e7 int, refs array<long>, members array<struct<type:string,ref:long,role:string>>, "
-    "tags map<string,string>, version int, changeset long, timestamp timestamp_ntz, uid int, user string, xmin_e7 int, ymin_e7 int, xmax_e7 int, "
-    f"ymax_e7 int, geometry array<{POINT}>, hilbert long"
-)
 HISTORY_EXTRA = "minor int, valid_from timestamp_ntz, valid_to timestamp_ntz, visible boolean"
-FIELDS = T.StructType.fromDDL(CANONICAL).fields
+_INT, _LONG, _STRING = T.IntegerType(), T.LongType(), T.StringType()
+_POINT = T.StructType([T.StructField("lat_e7", _INT), T.StructField("lon_e7", _INT)])
+_MEMBER = T.StructType([T.StructField("type", _STRING), T.StructField("ref", _LONG), T.StructField("role", _STRING)])
+_KINDS = {
+    "type": _STRING, "id": _LONG, "cell": _STRING, "lat_e7": _INT, "lon_e7": _INT, "refs": T.ArrayType(_LONG), "members": T.ArrayType(_MEMBER), "tags": T.MapType(_STRING, _STRING),
+    "version": _INT, "changeset": _LONG, "timestamp": T.TimestampNTZType(), "uid": _INT, "user": _STRING, "xmin_e7": _INT, "ymin_e7": _INT, "xmax_e7": _INT, "ymax_e7": _INT,
+    "geometry": T.ArrayType(_POINT), "hilbert": _LONG,
+}
+FIELDS = [T.StructField(k, v) for k, v in _KINDS.items()]
 NAMES = [f.name for f in FIELDS]
 BOUNDS = ("xmin_e7", "ymin_e7", "xmax_e7", "ymax_e7")
 
@@ -29,7 +31,7 @@ def canonical(df: DataFrame, *extra: str) -> DataFrame:
 
 
 def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], CANONICAL)
+    return spark.createDataFrame([], T.StructType(FIELDS))
 
 
 @dataclass
