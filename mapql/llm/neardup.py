@@ -225,7 +225,12 @@ def _questions(members: DataFrame, classes: DataFrame, percent: int, miss: float
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             yield from _answers(table, np.concatenate(([0], cuts, [table.num_rows])), percent, miss, partners)
 
-    return every.mapInArrow(run, "a long, b long, more boolean")
+    found = every.mapInArrow(run, "q long, p long, match int, more boolean")
+    # of what a question finds in all its bands the best go on; what it holds here is bounded by bands and blocks
+    best = found.groupBy("q").agg(F.sort_array(F.collect_set(F.struct("match", "p")), asc=False).alias("all"), F.bool_or("more").alias("cut"))
+    best = best.select("q", F.slice("all", 1, partners).alias("some"), (F.col("cut") | (F.size("all") > partners)).alias("more"))
+    best = best.select("q", F.explode("some.p").alias("p"), "more")
+    return best.select(F.least("q", "p").alias("a"), F.greatest("q", "p").alias("b"), "more")
 
 
 def _answers(table: pa.Table, cuts: np.ndarray, percent: int, miss: float, partners: int):  # noqa: ANN202, PLR0914
@@ -251,13 +256,13 @@ def _answers(table: pa.Table, cuts: np.ndarray, percent: int, miss: float, partn
     match = np.concatenate([(signature[x[i : i + 65536]] == signature[y[i : i + 65536]]).sum(axis=1) for i in range(0, len(x), 65536)])
     # the best partners of each question (a row of the table asks in one block only)
     order = np.lexsort((cls[y], -match, x))
-    x, y = x[order], y[order]
+    x, y, match = x[order], y[order], match[order]
     start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
     size = np.repeat(np.diff(np.append(start, len(x))), np.diff(np.append(start, len(x))))
     keep = rank < partners
     x, y, more_out = x[keep], y[keep], size[keep] > partners
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array(more_out)], ["a", "b", "more"])
+    yield pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(match[keep].astype(np.int32)), pa.array(more_out)], ["q", "p", "match", "more"])
 
 
 def _fast(signature: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, miss: float) -> np.ndarray:
@@ -287,7 +292,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     classes = cut(classes)
     members = classes.select(F.explode("bands").alias("band"), "class")
     shared = members.groupBy(F.col("band").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a")).where("n > 1")
-    stars = members.join(shared, F.col("band") == F.col("k")).where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    # of the smallest texts of all its bands each text meets the smallest only; the questions see to the rest
+    stars = members.join(shared, F.col("band") == F.col("k")).where("class <> a").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     checked = cut(_likely(stars, classes, percent, miss))
     # rows of one document with several texts are linked by their id, which is their class already
     links = cut(_confirmed(checked, docs, width, percent))
