@@ -145,3 +145,38 @@ def test_archives_round_trip(spark):
         for i, url, text in rows:
             assert found[i]["url"] == url and found[i]["payload_digest"] == hashlib.sha256(text.encode()).hexdigest()
             assert found[i]["payload"] is None if found[i]["record_type"] == "revisit" else bytes(found[i]["payload"]).decode() == text
+
+
+@pytest.mark.parametrize("long", [8, 256])
+def test_similar_lines_share_a_key(monkeypatch, long):
+    """Also where words are frequent, and lines on either side of LONG."""
+    monkeypatch.setattr(lines, "HOT", 10)
+    monkeypatch.setattr(lines, "LONG", long)
+    rng = np.random.default_rng(5)
+    vocabulary = tokens.mix(np.arange(1, 60, dtype=np.uint64))
+    often = np.zeros(1 << lines.BUCKET_BITS, np.int64)
+    often[(vocabulary >> np.uint64(64 - lines.BUCKET_BITS)).astype(np.int64)] = rng.integers(1, 30, len(vocabulary))
+    sets = []
+    for _ in range(60):
+        base = set(rng.choice(59, rng.integers(4, 14), replace=False).tolist())
+        for _ in range(3):
+            sets.append(base ^ set(rng.choice(59, rng.integers(0, 3), replace=False).tolist()))
+    sets = [s for s in sets if s]
+    values = [np.sort(vocabulary[sorted(s)]) for s in sets]
+    at = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+    size = np.diff(at)
+    n = lines.prefix(size)
+    n = n + (n > 0)
+    word, _, _ = lines._prefixes(np.concatenate(values), at, often, n)
+    key, place, line, _ = lines.keys_of(word, n, size, often, lines.PERCENT)
+    have = [dict() for _ in sets]
+    for k, p, i in zip(key.tolist(), place.tolist(), line.tolist(), strict=True):
+        have[i].setdefault(k, p)
+    found = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x != y and 100 * len(x & y) >= lines.PERCENT * len(x | y):
+                found += 1
+                need = -(-lines.PERCENT * (len(x) + len(y)) // (100 + lines.PERCENT))
+                assert any(1 + min(len(x) - p - 1, len(y) - have[j][k] - 1) >= need for k, p in have[i].items() if k in have[j])
+    assert found > 20
