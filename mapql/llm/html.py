@@ -43,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words in class, id or role that mark what isn't the article.
 HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search alert".split())
 _WORDS = re.compile(r"[a-z]+")
+#: Inline elements whose end also ends what is still open in them.
+_SCOPED = frozenset(("button", "select"))
 #: Elements whose start ends an open paragraph, as browsers do.
 _CLOSES_P = BLOCKS - {"html", "body", "head", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
@@ -68,7 +70,7 @@ def lines(html: str) -> list[tuple[str, int]]:
     """(text, mark) of each block of a page that has text."""
     out: list[tuple[str, int]] = []
     part: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, str]] = []  # of inline elements those that change the mark, and of their names all in these
     mark, at, raw = OTHER, 0, None
 
     def flush() -> None:
@@ -77,6 +79,9 @@ def lines(html: str) -> list[tuple[str, int]]:
             out.append((text, mark))
         part.clear()
 
+    def marked(name: str, attributes: str) -> int:
+        return _mark(name, attributes, stack[-1][1] if stack else OTHER, any(x[0] in ("article", "main") for x in stack))
+
     for m in _TAG.finditer(html):
         closing, name = m[1], m[2]
         if raw is not None:
@@ -100,27 +105,32 @@ def lines(html: str) -> list[tuple[str, int]]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if name not in BLOCKS:
-                        del stack[i]
-                        break
+                    inside = stack[i + 1 :] if name not in BLOCKS and name not in _SCOPED else []
                     del stack[i:]
-                    mark = stack[-1][1] if stack else OTHER
+                    # a block that an inline element doesn't enclose wholly goes on without it
+                    for n, _, attributes in inside:
+                        stack.append((n, marked(n, attributes), attributes))
+                    new = stack[-1][1] if stack else OTHER
+                    if new != mark:
+                        flush()
+                        mark = new
                     break
         elif name in RAW:
             if not (m[3] or "").endswith("/"):
                 raw = name
         elif name not in VOID:
             if name in _CLOSES_P:
-                while stack and stack[-1][0] not in BLOCKS:
-                    stack.pop()
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
+                i = len(stack) - 1
+                while i >= 0 and stack[i][0] not in BLOCKS and stack[i][0] not in _SCOPED:
+                    i -= 1
+                if i >= 0 and stack[i][0] == "p":
+                    del stack[i:]
                     mark = stack[-1][1] if stack else OTHER
-            new = _mark(name, m[3] or "", mark, any(n in ("article", "main") for n, _ in stack))
-            if new != mark and name not in BLOCKS:
-                flush()
-            if name in BLOCKS or new != mark:
-                stack.append((name, new))
+            new = marked(name, m[3] or "")
+            if name in BLOCKS or new != mark or any(x[0] == name for x in stack):
+                if new != mark:
+                    flush()
+                stack.append((name, new, m[3] or ""))
                 mark = new
     if raw is None and at < len(html):
         part.append(html[at:])

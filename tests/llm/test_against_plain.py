@@ -57,6 +57,25 @@ def test_main_text():
     assert html.main_text(html.lines("<body><div>shared</div><p>mine</p>"), other) == "mine"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>Start <span class="share">x</span> rest</p></article>', "Start\nrest"),
+        ("<article><button>Play</button><div>one</div><p>two</p></article>", "one\ntwo"),
+        ("<body><button>Menu</button><div><article><p>text</p></article></div>", "text"),
+        ('<body><a class="promo" href="/x">Buy</a><article><p>one</p><a class="share">s</a><p>two</p></article>', "one\ntwo"),
+        ('<article><span class="share">a <span>b</span> c</span> text</article>', "text"),
+        ('<article><span class="share"><div>a</div> b</span> text</article>', "text"),
+        ('<article><a class="promo"><div>Buy</a> one</div><p>two</p></article>', "one\ntwo"),
+        ("<article><button><div>Play</button><p>text</p></article>", "text"),
+        ("<article><p>one <select><option>x<option>y</select> two</p></article>", "one\ntwo"),
+        ('<article><p>one <span class="share">x<p>two</p></article>', "one\ntwo"),
+    ],
+)
+def test_marks_end_with_inline_elements(page, want):
+    assert html.main_text(html.lines(page), None) == want
+
+
 def test_least_matches_keep_what_is_similar():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, (20_000, neardup.HASHES)).astype(np.uint8)
