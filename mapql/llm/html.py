@@ -49,8 +49,9 @@ _SCOPED = frozenset(("button", "select"))
 _CLOSES_P = BLOCKS - {"html", "body", "head", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
-def _mark(name: str, attributes: str, above: int, in_article: bool) -> int:
-    if above == ASIDE or name in NEVER or (name == "header" and not in_article) or (name == "article" and in_article):
+def _mark(name: str, attributes: str, above: int, around: set[str]) -> int:
+    """The mark of an element; ``around``: names of open elements. An article in an article is a reader's comment."""
+    if above == ASIDE or name in NEVER or (name == "header" and around.isdisjoint(("article", "main"))) or (name == "article" and "article" in around):
         return ASIDE
     main = name in ("article", "main")
     if attributes and _HINTED.search(attributes):
@@ -80,7 +81,7 @@ def lines(html: str) -> list[tuple[str, int]]:
         part.clear()
 
     def marked(name: str, attributes: str) -> int:
-        return _mark(name, attributes, stack[-1][1] if stack else OTHER, any(x[0] in ("article", "main") for x in stack))
+        return _mark(name, attributes, stack[-1][1] if stack else OTHER, {x[0] for x in stack})
 
     for m in _TAG.finditer(html):
         closing, name = m[1], m[2]

@@ -76,6 +76,12 @@ def test_marks_end_with_inline_elements(page, want):
     assert html.main_text(html.lines(page), None) == want
 
 
+def test_article_in_main_is_no_comment():
+    page = "<body><main><header>head</header><article><h1>A</h1><p>one</p><article>a comment</article></article></main><footer>f</footer>"
+    assert html.main_text(html.lines(page), None) == "head\nA\none"
+    assert html.main_text(html.lines("<main><article>text</article></main>"), None) == "text"
+
+
 def test_least_matches_keep_what_is_similar():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, (20_000, neardup.HASHES)).astype(np.uint8)
