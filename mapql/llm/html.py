@@ -37,6 +37,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=
 _HINTED = re.compile(r"\b(?:class|id|role|itemprop|hidden)\b", re.I)
 #: Elements of HTML by their use.
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object xmp noembed noframes".split())
+_RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for name in RAW}
 NEVER = frozenset("nav footer aside form menu dialog button select head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,7 +73,7 @@ def lines(html: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     part: list[str] = []
     stack: list[tuple[str, int, str]] = []  # of inline elements those that change the mark, and of their names all in these
-    mark, at, raw = OTHER, 0, None
+    mark, at = OTHER, 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(part)).split()) if part else ""
@@ -83,15 +84,8 @@ def lines(html: str) -> list[tuple[str, int]]:
     def marked(name: str, attributes: str) -> int:
         return _mark(name, attributes, stack[-1][1] if stack else OTHER, {x[0] for x in stack})
 
-    for m in _TAG.finditer(html):
+    while m := _TAG.search(html, at):
         closing, name = m[1], m[2]
-        if raw is not None:
-            if name is None or not closing or name.lower() != raw:
-                continue
-            raw, at = None, m.end()
-            continue
-        if m.start() < at:
-            continue
         if m.start() > at:
             part.append(html[at : m.start()])
         at = m.end()
@@ -118,7 +112,9 @@ def lines(html: str) -> list[tuple[str, int]]:
                     break
         elif name in RAW:
             if not (m[3] or "").endswith("/"):
-                raw = name
+                # nothing in it counts, so only its end is looked for; without one it goes to the page's end
+                end = _RAW_END[name].search(html, at)
+                at = end.end() if end else len(html)
         elif name not in VOID:
             if name in _CLOSES_P:
                 i = len(stack) - 1
@@ -133,7 +129,7 @@ def lines(html: str) -> list[tuple[str, int]]:
                     flush()
                 stack.append((name, new, m[3] or ""))
                 mark = new
-    if raw is None and at < len(html):
+    if at < len(html):
         part.append(html[at:])
     flush()
     return out

@@ -82,6 +82,20 @@ def test_article_in_main_is_no_comment():
     assert html.main_text(html.lines("<main><article>text</article></main>"), None) == "text"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><script>for(i=0;i<n;i++){f(i)}</script><p>Text</p></article>", "Text"),
+        ("<article><script>x = '<!--'</script><p>Text</p></article>", "Text"),
+        ("<article><style>a::after{content:'<b'}</STYLE ><p>Text</p><script>1</script></article>", "Text"),
+        ("<article><script>a('</scripts>', '<p title=\"')</script\n><p>Text</p></article>", "Text"),
+        ("<article><p>Text</p><script>never ends</article>", "Text"),
+    ],
+)
+def test_scripts_end_at_their_end_tag(page, want):
+    assert html.main_text(html.lines(page), None) == want
+
+
 def test_least_matches_keep_what_is_similar():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, (20_000, neardup.HASHES)).astype(np.uint8)
