@@ -163,6 +163,19 @@ def test_lines_match_all_pairs(spark):
     assert got == want
 
 
+def test_later_lines_of_one_text_go(spark):
+    """In each text the first line has earlier partners that the second is too far from, whatever their names' order."""
+    docs = []
+    for i in range(24):
+        w = [f"f{i}w{k}" for k in range(20)]
+        first, second = w, [*w[:17], "x"]
+        docs += [(10 * i, " ".join(w[1:])), (10 * i + 1, " ".join(w[2:]))]
+        docs.append((10 * i + 2, " ".join(first) + "\n" + " ".join(second)))
+    out = {x["doc_id"]: (x["text"], x["_removed"]) for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), partners=1).collect()}
+    for i in range(24):
+        assert out[10 * i][1] == 0 and out[10 * i + 1] == ("", 1) and out[10 * i + 2] == ("", 2)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x c q b a y"), (2, "a b c"), (3, "a one two three four b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
