@@ -303,14 +303,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         asked = cut(_questions(labelled, classes, percent, miss, partners))
         new = asked.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
         new = cut(new)
-        if new.isEmpty():
-            break
         more = not asked.where("more").isEmpty()
-        fresh = cut(_confirmed(new, docs, width, percent))
-        checked = checked.unionByName(new)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)))
+        # what was passed on can all be checked already while a question has partners that weren't passed on
+        if not new.isEmpty():
+            fresh = cut(_confirmed(new, docs, width, percent))
+            checked = checked.unionByName(new)
+            if not fresh.isEmpty():
+                links = links.unionByName(fresh)
+                found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)))
         if not more:
             break
         partners *= 8

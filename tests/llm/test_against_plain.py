@@ -131,6 +131,25 @@ def test_near_duplicates_match_all_pairs(spark):
     assert out == {i: find(i) for i in range(240)}
 
 
+def test_questions_go_on_past_checked_pairs(spark):
+    """Texts whose best partner by hashes is one that was checked in vain; the link is to another."""
+    docs = []
+    for seed in range(1000):
+        common, first, shared, one, two = ([f"s{seed}{kind}{i}" for i in range(n)] for kind, n in (("x", 161), ("a", 13), ("y", 10), ("b", 20), ("c", 20)))
+        texts = [common + first, common + shared + one, common + shared + two]
+        raw, offsets = tokens.buffers(pa.array([" ".join(t) for t in texts]))
+        signature = neardup.signatures(*neardup.sets(raw, offsets, 1))
+        small, keys = (signature & np.uint32(255)).astype(np.uint8), neardup.bands(signature)
+        met = all((keys[i] == keys[j]).any() for i, j in ((0, 1), (0, 2), (1, 2)))
+        if met and min((small[0] == small[1]).sum(), (small[0] == small[2]).sum()) > (small[1] == small[2]).sum() and len(neardup.survivors(small[[0, 0, 1]], small[[1, 2, 2]])) == 3:
+            docs += [(len(docs) + i, " ".join(t)) for i, t in enumerate(texts)]
+            if len(docs) == 9:
+                break
+    assert len(docs) == 9
+    out = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1).collect()}
+    assert out == {i: i - (i % 3 == 2) for i in range(9)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (300, 100)], "a long, b long")
     assert {(r["node"], r["component"]) for r in graph.components(links).collect()} == {(i, 1) for i in range(1, 41)} | {(100, 100), (200, 100), (300, 100)}
