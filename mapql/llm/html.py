@@ -187,10 +187,9 @@ def common(a: list[int], b: list[int], most: int = 1 << 28) -> set[int]:
 def main_text(page: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
     """The lines of a page that stay after differencing it with its neighbour."""
     shared: set[int] = set()
-    if other and any(m != ARTICLE for _, m in page):
+    if other and any(m == OTHER for _, m in page):
         shared = common([hash(t) for t, _ in page], [hash(t) for t, _ in other])
-    best = max((m for _, m in page if m != ASIDE), default=OTHER)
-    return "\n".join(t for i, (t, m) in enumerate(page) if m == best and (m == ARTICLE or i not in shared))
+    return "\n".join(t for i, (t, m) in enumerate(page) if m == ARTICLE or m == OTHER and i not in shared)
 
 
 def extract(pages: DataFrame, splits: int = SPLITS, block_pages: int = BLOCK_PAGES) -> DataFrame:

@@ -96,6 +96,11 @@ def test_scripts_end_at_their_end_tag(page, want):
     assert html.main_text(html.lines(page), None) == want
 
 
+def test_differencing_also_decides_beside_an_article():
+    page, other = (html.lines(f"<body><div>Site</div><h1>{t}</h1><article><p>one</p></article><div>Imprint</div>") for t in ("Mine", "Other"))
+    assert html.main_text(page, other) == "Mine\none"
+
+
 def test_least_matches_keep_what_is_similar():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, (20_000, neardup.HASHES)).astype(np.uint8)
