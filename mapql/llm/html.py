@@ -8,8 +8,8 @@ lose their text that way, and an advert that changes from page to page would sta
 an article are not deleted, and lines in elements that never hold one go whether shared or not.
 
 Sorting is spread by split points, sampled by a hash of the key so that a rerun has the same ones; a host with a
-third of all pages is cut by path into many blocks. A block also gets the page at which the next begins, as a
-neighbour for its last page. (The page at a split point looks for its neighbour after itself only.)
+third of all pages is cut by path into many blocks. A block also gets the page at which the next begins and the
+last one of the block before, so every page sees both its neighbours and its text doesn't hang on the split points.
 """
 
 from __future__ import annotations
@@ -208,6 +208,15 @@ def extract(pages: DataFrame, splits: int = SPLITS, block_pages: int = BLOCK_PAG
     points = sorted(tuple(r) for r in picked.collect())
     shared = spark.sparkContext.broadcast(points)
 
+    def numbered(batches):
+        for batch in batches:
+            keys = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(shared.value, k) for k in keys], pa.int64()), *batch.columns], ["block", "host", "path", "n"])
+
+    placed = keyed.select("host", "path", number.alias("n")).mapInArrow(numbered, "block long, host string, path string, n long")
+    lasts = {r["block"]: tuple(r["last"]) for r in placed.groupBy("block").agg(F.max(F.struct("host", "path", "n")).alias("last")).collect()} if points else {}
+    last = spark.sparkContext.broadcast(lasts)
+
     def blocks(batches):
         ends = shared.value
         for batch in batches:
@@ -221,6 +230,8 @@ def extract(pages: DataFrame, splits: int = SPLITS, block_pages: int = BLOCK_PAG
                     out.append((block, False, page_id, url, host, path, texts, marks))
                     if block and ends[block - 1] == key:
                         out.append((block - 1, True, page_id, url, host, path, texts, marks))
+                    if block < len(ends) and last.value[block] == key:
+                        out.append((block + 1, True, page_id, url, host, path, texts, marks))
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [f"c{i}" for i in range(8)])
 

@@ -101,6 +101,13 @@ def test_differencing_also_decides_beside_an_article():
     assert html.main_text(page, other) == "Mine\none"
 
 
+def test_split_points_change_no_page(spark):
+    rows = [(i, f"http://h{i // 30}.org/d{i % 30 // 2}/p{i % 2}", f"<body><div>host {i // 30}</div><div>dir {i // 2}</div><p>own {i}</p>") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for each in (2, 5):
+        assert {r["page_id"]: r["text"] for r in html.extract(pages, block_pages=each).collect()} == {i: f"own {i}" for i, _, _ in rows}
+
+
 def test_least_matches_keep_what_is_similar():
     r = np.random.default_rng(1)
     a = r.integers(0, 256, (20_000, neardup.HASHES)).astype(np.uint8)
