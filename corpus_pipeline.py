@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: The first stage is a trained model, which SQL can't express; the stages are tested against plain versions.
+#: The first stage is a trained model, which SQL can't express. tests/llm/test_sql.py tests the stages against plain versions, of the first the threshold only.
 ORACLE_SQL = None
 
 
