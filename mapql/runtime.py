@@ -41,3 +41,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Tables:
+    """Intermediate tables in the shared folder, freed when their maker says so.
+
+    A table written as Parquet has a known size, so a join broadcasts it only where it is small; it survives lost
+    executors as a checkpoint does.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "tables") -> None:
+        self.spark, self.base, self.count = spark, new_shared_path(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.count}"
+        self.count += 1
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._mapql_path = path
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete_path(self.spark, t._mapql_path)
