@@ -1,15 +1,15 @@
 """Near-duplicates: MinHash bands, sequential Bayesian verification, exact confirmation, components.
 
 1. Texts with equal shingle sets form a class, and one of each class goes on: copies cost nothing further.
-2. Signatures are cut into bands, and texts that share a band are candidates.
-3. A candidate pair's signatures are compared a batch at a time. After each, the posterior of their similarity
-   (uniform prior, binomial matches) says how likely the threshold is reached; a pair for which that falls under
-   MISS is dropped. What survives is confirmed on the full sets.
-4. Not all pairs of a band are looked at. First each text is compared with the band's smallest; components of
-   these links are found; then, in bands that still hold several components, the texts outside the component of
-   the smallest are asked, in blocks, against all texts of the band that aren't in their own component. No link
-   between components is passed over, and links within one can't change the result. A question that finds more
-   than a few partners passes on its best and is asked again after the components have grown, with more each time.
+2. Signatures are cut into bands, and texts that share a band are candidates. Texts that share no band with another
+   stop here. The others fall into clusters, the components of sharing a band, and a cluster's texts meet in one
+   task, each sent once; a large cluster is cut into blocks.
+3. There, a candidate pair's signatures are compared a batch at a time. After each, the posterior of their
+   similarity (uniform prior, binomial matches) says how likely the threshold is reached; a pair for which that
+   falls under MISS is dropped. What survives is confirmed on the full sets, unless its texts have been joined by
+   other confirmed links meanwhile. Only links that join components leave the task, fewer than it has texts.
+4. The texts of a large cluster that are outside its largest component then meet all its blocks. No link between
+   components is passed over, and links within one can't change the result.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapql.llm import bloom, tokens
 from mapql.llm.graph import components
-from mapql.runtime import cut, partitions
+from mapql.runtime import Tables, partitions
 
 _U = np.uint64
 SHINGLE = 5
@@ -36,9 +36,9 @@ HASHES = BAND_ROWS * BANDS
 #: Hashes compared at a time, and the probability at which a pair is dropped.
 BATCH = 32
 MISS = 1e-6
-#: Texts of a band that are compared in one go, and partners that a question passes on at first.
-BLOCK = 1024
-PARTNERS = 1
+#: Texts and shingles that meet in one task.
+BLOCK = 2048
+BLOCK_SHINGLES = 4_000_000
 
 _random = np.random.default_rng(8191)
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,153 +132,116 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_shingles long, name binary, bands array<long>, signature binary")
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, HASHES)
-
-
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of classes that the comparison of signatures leaves."""
-    side = lambda s: classes.select(F.col("class").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "s_a", "s_b")
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keep = survivors(_bytes(batch.column(2)), _bytes(batch.column(3)), percent, miss)
-                yield batch.select(["a", "b"]).take(pa.array(keep))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    texts = bloom.thin(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", bloom.build(involved, "id"))
-    one, two = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}")) for s in "ab")
-
-    def run(batches):
-        known: tuple = (None, None)
-        for batch in batches:
-            keep = []
-            (raw_a, off_a), (raw_b, off_b) = tokens.buffers(batch.column(2)), tokens.buffers(batch.column(3))
-            ids = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                text = raw_a[off_a[i] : off_a[i + 1]]
-                if known[0] != (ids[i], len(text)):
-                    known = ((ids[i], len(text)), sets(text, np.array([0, len(text)]), width)[0])
-                x = known[1]
-                y = sets(raw_b[off_b[i] : off_b[i + 1]], np.array([0, off_b[i + 1] - off_b[i]]), width)[0]
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if shared and 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
-
-
-def _questions(members: DataFrame, classes: DataFrame, percent: int, miss: float, partners: int) -> DataFrame:
-    """Likely pairs across components in bands that hold several: a, b, and whether more were found than passed on.
-
-    ``members``: band, class, component. Only blocks of one band meet, and a band of many texts is cut into blocks
-    on either side by as many as its questions and its texts need.
-    """
-    spark = members.sparkSession
-    held = members.groupBy(F.col("band").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("class", "component"))["component"].alias("main"))
-    held = held.where("lo <> hi").select("k", "n", "main")
-    rows = members.join(held, F.col("band") == F.col("k")).drop("k").withColumn("asks", F.col("component") != F.col("main"))
-    rows = cut(rows.drop("main"))
-    large = rows.where(F.col("n") > BLOCK)
-    asked = large.groupBy(F.col("band").alias("k")).agg(F.ceil(F.count_if("asks") / F.lit(BLOCK)).alias("q"))
-    one = rows.where(F.col("n") <= BLOCK).select("band", F.lit(0).alias("q"), F.lit(0).alias("t"), "class", "component", "asks", F.lit(True).alias("told"))
-    parts = large.join(asked, F.col("band") == F.col("k")).withColumn("all", F.ceil(F.col("n") / F.lit(BLOCK)))
-    place = lambda n: F.pmod(F.xxhash64(F.lit(3), "class"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    as_told = parts.select("band", upto("q").alias("q"), place("all").alias("t"), "class", "component", F.lit(False).alias("asks"), F.lit(True).alias("told"))
-    as_asks = parts.where("asks").select("band", place("q").alias("q"), upto("all").alias("t"), "class", "component", F.lit(True).alias("asks"), F.lit(False).alias("told"))
-    every = one.unionByName(as_told).unionByName(as_asks)
-    every = every.join(classes.select("class", "n_shingles", "signature"), "class")
-    every = every.select("band", "q", "t", "class", "component", "asks", "told", "n_shingles", "signature")
-    every = every.repartition(partitions(spark), "band", "q", "t").sortWithinPartitions("band", "q", "t")
+class _Unit:
+    """Texts that meet in one task: in order of class, with the component that each is known to belong to."""
+
+    def __init__(self, cls, comp, asks, told, band, signature, sets, percent: int, miss: float) -> None:  # noqa: ANN001, PLR0913
+        self.cls, self.asks, self.told, self.band, self.signature, self.sets = cls, asks, told, band, signature, sets
+        self.percent, self.miss = percent, miss
+        _, first, number = np.unique(comp, return_index=True, return_inverse=True)
+        self.was = first[number]
+        self.root = self.was.copy()
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.seen = np.zeros((len(cls), len(cls)), bool)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of classes that join all components between which the unit has a confirmed link."""
+        flat = self.band.ravel()
+        order = np.argsort(flat, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1], [True])))
+        owner = order // self.band.shape[1]
+        for k in np.flatnonzero(np.diff(edge) > 1).tolist():
+            members = owner[edge[k] : edge[k + 1]]
+            if (self.root[members] != self.root[members[0]]).any():
+                for first in range(0, len(members), 64):
+                    self._compare(members[first : first + 64], members)
+        moved = np.flatnonzero((self.root != self.was) & (self.was == np.arange(len(self.was))))
+        return self.cls[self.root[moved]], self.cls[moved]
+
+    def _compare(self, some: np.ndarray, members: np.ndarray) -> None:
+        i, j = some[:, None], members[None, :]
+        pair = (i < j) & (self.root[i] != self.root[j]) & ~self.seen[i, j] & similar(self.size[i], self.size[j], self.percent)
+        pair &= (self.asks[i] & self.told[j]) | (self.asks[j] & self.told[i])
+        x, y = np.nonzero(pair)
+        x, y = some[x], members[y]
+        self.seen[x, y] = True
+        keep = survivors(self.signature[x], self.signature[y], self.percent, self.miss) if len(x) else x
+        x, y = x[keep], y[keep]
+        edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            self._confirm(int(x[a]), y[a:b])
+
+    def _confirm(self, x: int, others: np.ndarray) -> None:
+        """Compare one text's full set with others' until each is linked or was compared; likely ones first."""
+        match = (self.signature[others] == self.signature[x]).sum(axis=1)
+        others = others[np.argsort(-match, kind="stable")]
+        take = 4
+        while len(others := others[self.root[others] != self.root[x]]):
+            part, others = others[:take], others[take:]
+            take = 64
+            values = np.concatenate([self.sets[t] for t in part.tolist()])
+            own, start = self.sets[x], np.cumsum(self.size[part]) - self.size[part]
+            shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values, start, dtype=np.int64)
+            for t in part[100 * shared >= self.percent * (self.size[part] + self.size[x] - shared)].tolist():
+                a, b = sorted((int(self.root[x]), int(self.root[t])))
+                if a != b:
+                    self.root[self.root == b] = a
+
+
+_ROW = ("cluster", "q", "t", "class", "component", "asks", "told", "name", "bands", "signature", "text")
+
+
+def _met(rows: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) found in the units (cluster, q, t) of ``rows``."""
+    spark = rows.sparkSession
+    dealt = rows.select(*_ROW).repartition(partitions(spark), "cluster", "q", "t").sortWithinPartitions("cluster", "q", "t", "class")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = np.column_stack([table[c].to_numpy().astype(np.int64) for c in ("band", "q", "t")])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            if len(cuts):
-                yield from _answers(table.slice(0, cuts[-1]), np.append(0, cuts), percent, miss, partners)
-                held = table.slice(cuts[-1]).to_batches()
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = np.column_stack([table[c].to_numpy().astype(np.int64) for c in ("band", "q", "t")])
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            yield from _answers(table, np.concatenate(([0], cuts, [table.num_rows])), percent, miss, partners)
-
-    found = every.mapInArrow(run, "q long, p long, match int, more boolean")
-    # of what a question finds in all its bands the best go on; what it holds here is bounded by bands and blocks
-    best = found.groupBy("q").agg(F.sort_array(F.collect_set(F.struct("match", "p")), asc=False).alias("all"), F.bool_or("more").alias("cut"))
-    best = best.select("q", F.slice("all", 1, partners).alias("some"), (F.col("cut") | (F.size("all") > partners)).alias("more"))
-    best = best.select("q", F.explode("some.p").alias("p"), "more")
-    return best.select(F.least("q", "p").alias("a"), F.greatest("q", "p").alias("b"), "more")
-
-
-def _answers(table: pa.Table, cuts: np.ndarray, percent: int, miss: float, partners: int):  # noqa: ANN202, PLR0914
-    cls, comp, n = (table[c].to_numpy().astype(np.int64) for c in ("class", "component", "n_shingles"))
-    asks, told = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "told"))
-    signature = _bytes(table["signature"])
-    a_out, b_out, more_out = [], [], []
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        q, t = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(told[lo:hi])
-        for first in range(0, len(q), 256):
-            part = q[first : first + 256]
-            pair = (comp[part, None] != comp[t]) & similar(n[part, None], n[t], percent) & (~asks[t] | (cls[part, None] < cls[t]))
-            i, j = np.nonzero(pair)
-            for some in range(0, len(i), 1 << 17):
-                x, y = part[i[some : some + (1 << 17)]], t[j[some : some + (1 << 17)]]
-                keep = _fast(signature, x, y, percent, miss)
-                if len(keep):
-                    a_out.append(x[keep])
-                    b_out.append(y[keep])
-    if not a_out:
-        return
-    x, y = np.concatenate(a_out), np.concatenate(b_out)
-    match = np.concatenate([(signature[x[i : i + 65536]] == signature[y[i : i + 65536]]).sum(axis=1) for i in range(0, len(x), 65536)])
-    # the best partners of each question (a row of the table asks in one block only)
-    order = np.lexsort((cls[y], -match, x))
-    x, y, match = x[order], y[order], match[order]
-    start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
-    size = np.repeat(np.diff(np.append(start, len(x))), np.diff(np.append(start, len(x))))
-    keep = rank < partners
-    x, y, more_out = x[keep], y[keep], size[keep] > partners
-    yield pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(match[keep].astype(np.int32)), pa.array(more_out)], ["q", "p", "match", "more"])
-
-
-def _fast(signature: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, miss: float) -> np.ndarray:
-    """``survivors`` of pairs of rows of one array, a batch of hashes at a time."""
-    left, matches = np.arange(len(x)), np.zeros(len(x), np.int32)
-    for k, least in enumerate(least_matches(percent, miss)):
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        matches = matches + (signature[x[left], part] == signature[y[left], part]).sum(axis=1)
-        stay = matches >= least
-        left, matches = left[stay], matches[stay]
-        if not len(left):
-            break
-    return left
-
-
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, partners: int = PARTNERS) -> DataFrame:
+        held: list[tuple] = []
+        key = None
+
+        def flush():
+            if len(held) > 1:
+                cls, comp, asks, told, band, signature, own = zip(*held, strict=True)
+                unit = _Unit(np.array(cls, np.int64), np.array(comp, np.int64), np.array(asks, bool), np.array(told, bool), np.array(band), np.array(signature), own, percent, miss)
+                a, b = unit.links()
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held.clear()
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+                plain = [batch.column(c).to_pylist() for c in (3, 4, 5, 6, 7)]
+                band, signature = batch.column(8), batch.column(9)
+                raw, offsets = tokens.buffers(batch.column(10))
+                for a, b in tokens.pieces(offsets):
+                    values, at = sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                    for i in range(a, b):
+                        own = values[at[i - a] : at[i - a + 1]]
+                        if xxhash.xxh3_128_digest(own.tobytes()) != plain[4][i]:
+                            continue  # another text of a repeated id
+                        if keys[i] != key:
+                            yield from flush()
+                            key = keys[i]
+                        if held and held[-1][0] == plain[0][i] and held[-1][2:4] == (plain[2][i], plain[3][i]):
+                            continue  # a repeated row
+                        held.append((*(p[i] for p in plain[:4]), band[i].values.to_numpy(), np.frombuffer(signature[i].as_buffer(), np.uint8), own.copy()))
+        yield from flush()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+
+
+def _place(n: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), "class"), F.col(n)).cast("int")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, with a row for each row of ``docs``.
 
     ``docs`` needs doc_id and text; other columns are not read. Texts are linked whose sets of shingles of
@@ -287,34 +250,42 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     repeat an id count as one document that has each of their texts; a row without an id belongs to the component
     of rows with an equal set, and is kept only where there is none; an empty table gives an empty table.
     """
-    sketched = cut(sketch(docs, width))
+    spark = docs.sparkSession
+    tables = Tables(spark, "neardup")
+    sketched = tables.put(sketch(docs, width))
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    classes = cut(classes)
+    classes = tables.put(classes)
     members = classes.select(F.explode("bands").alias("band"), "class")
-    shared = members.groupBy(F.col("band").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a")).where("n > 1")
-    # of the smallest texts of all its bands each text meets the smallest only; the questions see to the rest
-    stars = members.join(shared, F.col("band") == F.col("k")).where("class <> a").groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    checked = cut(_likely(stars, classes, percent, miss))
-    # rows of one document with several texts are linked by their id, which is their class already
-    links = cut(_confirmed(checked, docs, width, percent))
-    found = cut(components(links))
-    while True:
-        labelled = classes.select("class", "bands").join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component"), F.explode("bands").alias("band"))
-        asked = cut(_questions(labelled, classes, percent, miss, partners))
-        new = asked.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
-        new = cut(new)
-        more = not asked.where("more").isEmpty()
-        # what was passed on can all be checked already while a question has partners that weren't passed on
-        if not new.isEmpty():
-            fresh = cut(_confirmed(new, docs, width, percent))
-            checked = checked.unionByName(new)
-            if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh)))
-        if not more:
-            break
-        partners *= 8
-    names = classes.join(found, F.col("class") == F.col("node"), "left").select("name", F.coalesce("component", "class").alias("component"))
+    mains = members.groupBy(F.col("band").alias("k")).agg(F.min("class").alias("main"), F.max("class").alias("last")).where("main < last")
+    met = members.join(mains, F.col("band") == F.col("k")).where("class <> main").select(F.col("class").alias("a"), F.col("main").alias("b")).distinct()
+    clusters = tables.put(components(met).select(F.col("node").alias("class"), F.col("component").alias("cluster")))
+    inside = classes.join(clusters, "class")
+    sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(block_shingles))).alias("blocks"))
+    inside = inside.select("class", "cluster", "name", "bands", "signature").join(sizes, "cluster")
+    texts = bloom.thin(docs.select(F.col("doc_id").cast("long").alias("class"), "text"), "class", bloom.build(clusters, "class"))
+    rows = tables.put(inside.join(texts, "class"))
+    yes, own = F.lit(True), F.col("class").alias("component")
+    # a cluster's smallest text goes to all its blocks, so that what it links in each is joined
+    units = rows.withColumn("q", F.when(F.col("class") == F.col("cluster"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(_place("blocks"))))
+    units = units.withColumn("q", F.explode("q")).select("cluster", "q", F.lit(0).alias("t"), "class", own, yes.alias("asks"), yes.alias("told"), "name", "bands", "signature", "text")
+    links = tables.put(_met(units, width, percent, miss))
+    found = tables.put(components(links))
+    large = rows.where("blocks > 1")
+    if not large.isEmpty():
+        large = large.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        ranked = large.groupBy("cluster", "component").agg(F.countDistinct("class").alias("n"))
+        main = ranked.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        main = main.withColumn("parts", F.ceil((F.col("all") - F.col("most")) / F.lit(block))).where("parts > 0").select("cluster", "main", "parts")
+        large = tables.put(large.join(main, "cluster"))
+        told = large.select("cluster", _upto("parts").alias("q"), _place("blocks").alias("t"), "class", "component", F.lit(False).alias("asks"), yes.alias("told"), "name", "bands", "signature", "text")
+        asks = large.where("component <> main").select("cluster", _place("parts").alias("q"), _upto("blocks").alias("t"), "class", "component", yes.alias("asks"), F.lit(False).alias("told"), "name", "bands", "signature", "text")
+        more = _met(told.unionByName(asks), width, percent, miss)
+        joined = tables.put(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        tables.free(found, large)
+        found = joined
+    tables.free(rows, links, clusters)
+    names = tables.put(classes.select("class", "name").join(found, F.col("class") == F.col("node"), "left").select("name", F.coalesce("component", "class").alias("component")))
+    tables.free(classes, found)
     out = sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "name").join(names, "name", "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     empty = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -4,9 +4,9 @@ A text column in Arrow is one byte buffer with offsets, so words can be found, l
 numpy over the bytes, without a Python string for each. White space, ASCII letters and digits are single
 bytes in UTF-8, hence classes of bytes are enough for the word patterns that the operators use.
 
-A word's hash is a polynomial over a random table of byte values, modulo 2**64, put through a mixer. Equal
-words have equal hashes; different words share one with a probability near 2**-64, so a pair of hashes is
-taken as proof of equality where texts of a corpus are compared pair by pair.
+A word's hash mixes its bytes eight at a time; of a very long one it is a polynomial over a random table of byte
+values, modulo 2**64. Equal words have equal hashes; different words share one with a probability near 2**-64, so a
+pair of hashes is taken as proof of equality where texts of a corpus are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -34,6 +34,11 @@ _values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int
 _values[0x41:0x5B] = _values[0x61:0x7B]  # A-Z count as a-z
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_lower = np.arange(256, dtype=np.uint8)
+_lower[0x41:0x5B] += 0x20
+_masks = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+#: Bytes from which a word is hashed as a polynomial.
+LONG_WORD = 256
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -104,16 +109,37 @@ def spans(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
-def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of lower-cased bytes."""
-    if not len(start):
-        return np.zeros(0, _U)
+def _polynomial(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of long spans, whose cost doesn't hang on the longest: a polynomial over byte values."""
+    low = int(start.min())
+    raw, start, end = raw[low : int(end.max())], start - low, end - low
     power, inverse = _power(len(raw))
     total = np.zeros(len(raw) + 1, _U)
     np.cumsum(_values[raw] * power[: len(raw)], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U))
 
 
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of lower-cased bytes."""
+    if not len(start):
+        return np.zeros(0, _U)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_lower, raw, out=padded[: len(raw)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    size = end - start
+    out = mix((eight[start] & _masks[np.minimum(size, 8)]) ^ (size.astype(_U) * _U(_BASE)))
+    at, left = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(left):
+        part = eight[start[left] + at] & _masks[np.minimum(size[left] - at, 8)]
+        out[left] = mix(out[left] * _U(0x2545F4914F6CDD1D) + part)
+        at += 8
+        left = left[size[left] > at]
+    left = np.flatnonzero(size > LONG_WORD)
+    if len(left):
+        out[left] = _polynomial(raw, start[left], end[left])
+    return out
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and where each row's words begin."""
     start, end, at = spans(raw, offsets, word)
