@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 24
@@ -24,17 +24,26 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def thin(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose value may be in the filter."""
+def _split(df: DataFrame, key: Column, words: np.ndarray, hit: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(words)
     name = "_bloom_bit"
-    bit = F.pmod(F.xxhash64(F.lit(7), F.col(column)), F.lit(1 << BITS))
+    bit = F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << BITS))
 
     def keep(batches):
         m = shared.value
         for batch in batches:
             b = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = (m[b >> 6] >> (b & 63)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).drop_columns([name])
+            found = ((m[b >> 6] >> (b & 63)) & 1).astype(bool)
+            yield batch.filter(pa.array(found == hit)).drop_columns([name])
+
+    return df.withColumn(name, bit).mapInArrow(keep, df.schema)
+
+
+def thin(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose value may be in the filter."""
+    return _split(df.where(F.col(column).isNotNull()), F.col(column), words, True)
+
 
-    return df.where(F.col(column).isNotNull()).withColumn(name, bit).mapInArrow(keep, df.schema)
+def divide(df: DataFrame, key: Column, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key (never null) may be in the filter, and those whose key isn't."""
+    return _split(df, key, words, True), _split(df, key, words, False)
