@@ -1,12 +1,14 @@
 """WARC archives with payloads stored once.
 
-Headers (no payloads) are grouped by payload digest to find the original of each repeated payload; a record that
-repeats one is written as a revisit that refers to it. Reading resolves the other way: headers of the archives
-are joined by digest, and a revisit gets its payload's size from the original response. ``deduplicate`` does both:
-it takes archives, resolves their revisits and writes new ones with fresh headers.
-
-Archives are gzip files with a member for each record, rolled at ARCHIVE_BYTES. A task writes under a name of its
-own and the driver lists what the finished tasks reported, so what a lost or repeated attempt left is not read.
+``write_archives`` writes a response record for each page. ``deduplicate`` takes archives and writes new ones: the
+headers alone (no payloads) are shuffled by payload digest to find the original of each repeated payload, revisit
+records of the input are joined to their original responses, and each record is then written where its payload was
+read, as a response or a revisit, with fresh headers. ``resolve`` reads the other way: a revisit gets its payload's
+size from the original that it names.
+
+A record's id tells its archive and place, so records that repeat a page's id, or have none, stay apart. Archives
+are gzip files with a member for each record, rolled at ARCHIVE_BYTES. A task writes under a name of its own and the
+driver lists what the finished tasks reported, so what a lost or repeated attempt left is not read.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapql.runtime import cut, new_shared_path
+from mapql.llm import bloom
+from mapql.runtime import cut, delete_path, new_shared_path
 
 #: Payloads of fewer bytes are written out each time.
 LEAST_BYTES = 100
@@ -32,27 +35,30 @@ MANIFEST = "path string, records long, bytes long"
 RECORD = "record_id string, record_type string, page_id long, url string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, payload binary"
 
 
-def record_id(row: int, page_id: int | None) -> str:
-    return f"<{uuid.uuid5(_NAMESPACE, f'{page_id}/{row}').urn}>"
+def record_id(archive: str, place: int) -> str:
+    return f"<{uuid.uuid5(_NAMESPACE, f'{archive}/{place}').urn}>"
 
 
-def plan(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to for each page.
+def captures(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_digest, payload_bytes of each page, as responses to write.
 
-    Of equal payloads of at least ``least`` bytes that with the smallest page_id is the response. Defined for
-    odd rows: a null html is an empty payload; rows that repeat the smallest id are responses all; rows without
-    an id revisit one that has an id, or are responses where none has; an empty table gives an empty table.
+    A null html is an empty payload; repeated rows and rows without an id are captures each.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    firsts = heads.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    # a payload seen once needs no answer, so most of the headers stop here
-    firsts = firsts.where("n > 1 AND first_id IS NOT NULL").select(F.col("payload_digest").alias("d"), "first_id")
-    rows = rows.join(firsts, F.col("payload_digest") == F.col("d"), "left").drop("d")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first_id"))}).drop("first_id")
+    return rows.withColumns({"record_type": F.lit("response"), "record_id": F.lit(None).cast("string"), "refers_to": F.lit(None).cast("long"), "refers_to_id": F.lit(None).cast("string")})
+
+
+def originals(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """payload_digest, first_id, record_id of the original of each payload that is there more than once.
+
+    ``heads``: payload_digest, payload_bytes, page_id, record_id. Of equal payloads of at least ``least`` bytes the
+    original is the record of the smallest page_id, and of those the one of the smallest record_id; a payload that
+    no record with a page_id has, has no original.
+    """
+    found = heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id")))["record_id"].alias("original"))
+    return found.where("n > 1 AND first_id IS NOT NULL").drop("n")
 
 
 def _filesystem(path: str):
@@ -78,21 +84,25 @@ def _unclean(value: str | None) -> str | None:
     return None if value is None else value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def write_record(row: dict, number: int, date: str) -> bytes:
+def write_record(row: dict, own_id: str, date: str) -> bytes:
     """One record, its HTTP head and, for a response, its payload."""
     revisit = row["record_type"] == "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
     fields = [
-        ("WARC-Type", row["record_type"]), ("WARC-Record-ID", record_id(number, row["page_id"])), ("WARC-Date", date), ("WARC-Target-URI", _clean(row["url"])),
+        ("WARC-Type", row["record_type"]), ("WARC-Record-ID", own_id), ("WARC-Date", date), ("WARC-Target-URI", _clean(row["url"])),
         ("WARC-Payload-Digest", f"sha256:{row['payload_digest']}"), ("Content-Type", "application/http;msgtype=response"), ("X-Page-ID", row["page_id"]),
     ]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(0, row["refers_to"])), ("WARC-Truncated", "length"), ("X-Refers-To-Page-ID", row["refers_to"])]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", row["refers_to_id"]), ("WARC-Truncated", "length"), ("X-Refers-To-Page-ID", row["refers_to"])]
     return _header(fields, http if revisit else http + row["payload"])
 
 
-def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
-    """Write ``plan``'s rows and return the manifest: path, records, bytes of each archive."""
+def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
+    """Write records (as of ``captures``; one without a record_id gets one) and return the manifest: path, records, bytes of each archive.
+
+    Each row is a record with an id of its own, whether or not its page_id is missing or repeated; no rows make no
+    archive.
+    """
     date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
@@ -100,21 +110,21 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         fs.create_dir(base, recursive=True)
         held: list[bytes] = []
         size = count = 0
+        name = f"{uuid.uuid4().hex}.warc.gz"
 
         def close():
-            nonlocal held, size, count
-            name = f"{uuid.uuid4().hex}.warc.gz"
+            nonlocal held, size, count, name
             with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 for part in held:
                     out.write(part)
             done = (f"{folder}/{name}", count, size)
-            held, size, count = [], 0, 0
+            held, size, count, name = [], 0, 0, f"{uuid.uuid4().hex}.warc.gz"
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in done], ["path", "records", "bytes"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 for row in batch.slice(start, 64).to_pylist():
-                    raw = write_record(row, 0, date)
+                    raw = write_record(row, row["record_id"] or record_id(name, count), date)
                     held.append(gzip.compress(raw, 3, mtime=0))
                     size, count = size + len(held[-1]), count + 1
                     if size >= archive_bytes:
@@ -122,7 +132,7 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         if held:
             yield close()
 
-    light = planned.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
+    light = records.select("record_id", "page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "refers_to_id", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"))
     return cut(light.mapInArrow(write, MANIFEST))
 
 
@@ -177,28 +187,58 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
 def resolve(records: DataFrame) -> DataFrame:
     """``records`` with ``payload_bytes`` and ``refers_to`` of revisits filled from their originals.
 
-    Headers meet by payload digest. A revisit whose original isn't among the records keeps nulls.
+    Headers meet by payload digest and record id. A revisit whose original isn't among the records keeps nulls.
     """
-    originals = records.where("record_type = 'response'").select("payload_digest", "record_id", F.col("page_id").alias("original_id"), F.col("payload_bytes").alias("original_bytes"))
+    first = records.where("record_type = 'response'").select("payload_digest", F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("original_id"), F.col("payload_bytes").alias("original_bytes"))
     revisits = records.where("record_type = 'revisit'")
-    revisits = revisits.join(originals.withColumnRenamed("record_id", "refers_to_id").dropDuplicates(["payload_digest", "refers_to_id"]), ["payload_digest", "refers_to_id"], "left")
+    # only originals that a revisit names meet them, found by a filter of fixed size
+    key = F.xxhash64("refers_to_id")
+    first = bloom.thin(first.withColumn("_key", key), "_key", bloom.build(revisits.select(key.alias("_key")), "_key")).drop("_key")
+    revisits = revisits.join(first, ["payload_digest", "refers_to_id"], "left")
     revisits = revisits.withColumns({"payload_bytes": F.col("original_bytes"), "refers_to": F.col("original_id")}).select(records.columns)
     return records.where("record_type <> 'revisit'").unionByName(revisits)
 
 
 def deduplicate(spark: SparkSession, manifest: DataFrame, folder: str, target: str, least: int = LEAST_BYTES) -> DataFrame:
-    """Write deduplicated archives of those in ``folder`` to ``target``, with fresh headers; returns the manifest."""
+    """Write deduplicated archives of those in ``folder`` to ``target``, with fresh headers; returns the manifest.
+
+    Of equal payloads of at least ``least`` bytes that with the smallest page_id is the response, and the others
+    revisit it, but for those that share its page_id, which are responses all. Rows without a page_id revisit one
+    that has one, or are responses where none has. A revisit of the input whose original is there counts as a record
+    with that payload; one without is dropped, as its payload is nowhere.
+    """
     records = read_archives(spark, manifest, folder)
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("o_id"), F.col("payload").alias("o_payload")).dropDuplicates(["o_id"])
-    whole = records.join(originals, F.col("refers_to_id") == F.col("o_id"), "left")
-    pages = whole.select("page_id", "url", F.decode(F.coalesce("payload", "o_payload"), "UTF-8").alias("html"))
-    return write_archives(plan(pages, least), target)
+    heads = cut(resolve(records.drop("payload")).where("payload_bytes IS NOT NULL").drop("record_type", "date", "refers_to"))
+    found = cut(originals(heads, least).withColumnRenamed("payload_digest", "d"))
+    repeated = bloom.build(found.select(F.xxhash64("d").alias("k")), "k")
+    met, single = bloom.divide(heads, F.xxhash64("payload_digest"), repeated)
+    decided = cut(met.join(found, F.col("payload_digest") == F.col("d"), "left").drop("d").unionByName(single.where("refers_to_id IS NOT NULL"), allowMissingColumns=True))
+    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    revisits = decided.where(again).select(_fresh("record_id"), "page_id", "url", "payload_digest", "payload_bytes", F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to"), _fresh("original").alias("refers_to_id"), F.lit(None).cast("binary").alias("payload"))
+    # payloads stay where they are read, but for those of which there are more: of these, one of each travels
+    kept = decided.where(~again).withColumn("source", F.coalesce("refers_to_id", "record_id"))
+    wanted = bloom.build(kept.select(F.xxhash64("source").alias("k")), "k")
+    whole = records.where("record_type = 'response'")
+    moved = bloom.divide(whole, F.xxhash64("record_id"), wanted)[0].select(F.col("record_id").alias("source"), "payload")
+    moved = kept.join(moved, "source")
+    alone = bloom.divide(whole, F.xxhash64("payload_digest"), repeated)[1]
+    responses = [x.select(_fresh("record_id"), "page_id", "url", "payload_digest", "payload_bytes", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_id"), "payload") for x in (moved, alone)]
+    return write_archives(responses[0].unionByName(responses[1]).unionByName(revisits), target)
+
+
+def _fresh(column: str) -> Column:
+    """A new record id for that of an input record."""
+    digest = F.md5(F.concat(F.lit("again "), F.col(column)))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>").alias(column)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_shared_path(spark, "warc")
-    manifest = write_archives(plan(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
-    heads = cut(read_archives(spark, manifest, folder).drop("payload"))
+    folder, again = new_shared_path(spark, "warc"), new_shared_path(spark, "warc")
+    first = write_archives(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
+    second = deduplicate(spark, first, folder, again)
+    delete_path(spark, folder)
+    heads = cut(read_archives(spark, second, again).drop("payload"))
+    delete_path(spark, again)
     return resolve(heads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
