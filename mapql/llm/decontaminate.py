@@ -6,13 +6,13 @@ them, so a phrase can't run from one to the next. The index is written once to t
 again. Test items are cut into windows; a segment looks a window's terms up, starts from the rarest list, shifts
 each next list by its offset and intersects, until none is left or all words match.
 
-Items come through the driver in blocks of a fixed number of windows, each block is searched against all segments,
-and a segment holds whole documents, so nothing is shuffled but, where there is more than one block, what was found.
+Windows are made in tasks and written once, dealt into blocks of about a fixed number. The driver takes one block at
+a time, which is searched against all segments; a segment holds whole documents, so nothing of theirs is shuffled but,
+where there is more than one block, what was found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapql.llm import tokens
-from mapql.runtime import cut
+from mapql.runtime import Tables
 
 _U = np.uint64
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
-#: Windows of a block of items; terms up to which an index is cut down to the items' own.
+#: Windows of a block of items, on average.
 BLOCK_WINDOWS = 200_000
-MOST_TERMS = 1_000_000
 INDEX = "segment long, doc_id array<long>, base array<int>, terms binary, at binary, positions binary"
 FOUND = "segment long, ordinal int, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
@@ -43,32 +42,37 @@ class Items:
     owners: list[list[str]]
 
 
-def windows(rows: Iterable[tuple[str, str | None]], width: int = WINDOW, block: int = BLOCK_WINDOWS) -> Iterator[Items]:
-    """Blocks of the distinct windows of (item id, text)."""
-    found: dict[tuple[int, ...], list[str]] = {}
+def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """terms, items: each distinct window of ``items`` (i, text), packed, and the items that have it."""
 
-    def packed() -> Items:
-        terms = np.zeros((len(found), width), _U)
-        for i, w in enumerate(found):
-            terms[i, : len(w)] = w
-        return Items(terms, np.array([len(w) for w in found], np.int64), list(found.values()))
+    def run(batches):
+        for batch in batches:
+            raw, offsets = tokens.buffers(batch.column(1))
+            word, at = tokens.words(raw, offsets, tokens.ALNUM)
+            names, packed = [], []
+            for name, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b > a:
+                    n = min(b - a, width)
+                    found = np.unique(np.lib.stride_tricks.sliding_window_view(word[a:b], n), axis=0)
+                    names += [name] * len(found)
+                    packed += [w.tobytes() for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(packed, pa.binary())], ["i", "terms"])
+
+    return items.mapInArrow(run, "i string, terms binary").groupBy("terms").agg(F.collect_set("i").alias("items"))
 
-    for name, text in rows:
-        word = tokens.words(*tokens.buffers(pa.array([text], pa.large_string())), tokens.ALNUM)[0].tolist()
-        for i in range(max(len(word) - width, 0) + 1) if word else ():
-            owners = found.setdefault(tuple(word[i : i + width]), [])
-            if not owners or owners[-1] != name:
-                owners.append(name)
-        if len(found) >= block:
-            yield packed()
-            found.clear()
-    if found:
-        yield packed()
 
+def _block(rows: DataFrame, width: int) -> Items:
+    """Windows of one block, unpacked."""
+    table = rows.toArrow()
+    packed = table["terms"].to_pylist()
+    terms = np.zeros((len(packed), width), _U)
+    for i, w in enumerate(packed):
+        terms[i, : len(w) // 8] = np.frombuffer(w, _U)
+    return Items(terms, np.array([len(w) // 8 for w in packed], np.int64), table["items"].to_pylist())
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """Segments of the positional index of doc_id and text; of ``terms`` only, where these are given."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """Segments of the positional index of all words of doc_id and text, written to the shared folder."""
 
     def segments(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -83,10 +87,6 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_words:
             base = np.concatenate(([0], np.cumsum(count + 1)))
             word = np.concatenate(words)
             place = np.arange(len(word)) + np.repeat(np.arange(len(count)), count)
-            if shared.value is not None:
-                only = np.minimum(np.searchsorted(shared.value, word), len(shared.value) - 1)
-                keep = shared.value[only] == word if len(shared.value) else np.zeros(len(word), bool)
-                word, place = word[keep], place[keep]
             order = np.argsort(word, kind="stable")
             word, place = word[order], place[order].astype(np.int32)
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
@@ -110,7 +110,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_words:
         if ids:
             yield close()
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX))
+    return Tables(docs.sparkSession, "index").put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX))
 
 
 def _phrase(lists: list[np.ndarray]) -> np.ndarray:
@@ -218,32 +218,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     rows that repeat an id are answered each; a row without item_id counts as the item ``""``; an empty benchmark
     finds nothing; an empty table gives an empty table.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").distinct()
-    blocks = list(_first_blocks(items, width, block))
-    only = None
-    if len(blocks) == 1:
-        only = np.unique(blocks[0].terms)
-        only = only if len(only) <= MOST_TERMS else None
-    index = build_index(docs, only)
-    if not blocks:
-        blocks = [Items(np.zeros((0, width), _U), np.zeros(0, np.int64), [])]
-    found = search(index, blocks[0], slop)
-    if len(blocks) > 1:
-        parts = [cut(search(index, b, slop)) for b in blocks]
-        found = parts[0]
+    spark = docs.sparkSession
+    tables = Tables(spark, "decontamination")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text")
+    asked = tables.put(windows(items, width))
+    blocks = max(1, -(-asked.count() // block))
+    index = build_index(docs)
+    # documents come back once, and of further blocks only those in which something was found
+    parts = [search(index, _block(asked.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == b), width), slop) for b in range(blocks)]
+    found = parts[0]
+    if blocks > 1:
         for p in parts[1:]:
-            found = found.unionByName(p.where(F.size("spans") > 0))
+            found = found.unionByName(tables.put(p.where(F.size("spans") > 0)))
         found = found.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = tables.put(found)
+    tables.free(index)
     one = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"))
     hit = F.aggregate(F.array_sort("spans"), one, step)["n"].cast("long")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
-def _first_blocks(items: DataFrame, width: int, block: int) -> Iterator[Items]:
-    yield from windows(((r["i"], r["text"]) for r in items.toLocalIterator()), width, block)
-
-
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
