@@ -123,10 +123,11 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
 def judge_by_join(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
     """For more rules than a task should hold: each url's host suffixes joined to the rules by host.
 
-    A url has at most 127 labels, so rows grow with the number of their labels only.
+    A url has at most 127 labels, so rows grow with the number of their labels only. Of rules that say the same the
+    block stays, as in the trie.
     """
     spark = df.sparkSession
-    table = spark.createDataFrame(rules, "v string, h string, p string").dropDuplicates(["h", "p"])
+    table = spark.createDataFrame(rules, "v string, h string, p string")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     urls = df.select("host", "path").distinct()
