@@ -5,7 +5,7 @@ text is the mean of its words, each kind of word weighed down as it gets frequen
 two classes is linear in that. Vectors and softmax are trained together in numpy. A misspelling that training
 never saw shares most of its n-grams with the word it was, and so most of its vector.
 
-Training takes a bounded sample of labelled rows to the driver. Scoring needs one number for each n-gram, what its
+Training takes a bounded sample of labelled rows to one task, which returns what n-grams add. Scoring needs one number for each n-gram, what its
 vector adds to the difference of the classes: a table of fixed size, which is broadcast. Words are hashed from the
 bytes of Arrow columns, and n-grams only of the distinct words of about a megabyte of text.
 """
@@ -26,9 +26,10 @@ _U = np.uint64
 BUCKET_BITS = 19
 WIDTH = 8
 GRAMS = (3, 4, 5, 6, 7)
-#: Sample: rows of each class, characters of a text. Passes over it, and the step.
+#: Sample: rows of each class, characters of a text and of all. Passes over it, and the step.
 PER_CLASS = 3000
 TRAIN_CHARS = 40_000
+ALL_CHARS = 40_000_000
 EPOCHS = 8
 STEP = 2.0
 #: A feature needs so many texts of the sample, and classes that have it unlike often by more than SURE standard
@@ -83,7 +84,7 @@ class Model:
     def __init__(self, gain: np.ndarray, bias: float) -> None:
         self.gain, self.bias = gain, bias
 
-    def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def scores(self, raw: np.ndarray, offsets: np.ndarray, lifted: bool = True) -> np.ndarray:
         out = []
         for a, b in tokens.pieces(offsets):
             base, part = offsets[a], offsets[a : b + 1]
@@ -93,17 +94,21 @@ class Model:
             if len(number):
                 word = np.add.reduceat(self.gain[grams], gram_at[:-1]) / np.diff(gram_at)
                 sums = np.concatenate(([0.0], np.cumsum(word[number])))
-                total = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(count, 1) * lift(count)
+                total = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(count, 1) * (lift(count) if lifted else 1)
             out.append(1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40))))
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, step: float = STEP, width: int = WIDTH) -> Model:
-    """Fit vectors and softmax by stochastic gradients, a step for each text, rates by row (Adagrad)."""
+def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, step: float = STEP, width: int = WIDTH, sure: float = SURE, lifted: bool = True) -> Model:
+    """Fit vectors and softmax by stochastic gradients, a step for each text, rates by row (Adagrad).
+
+    ``sure`` 0 leaves the screen of features out, and without ``lifted`` a text's mean isn't scaled.
+    """
+    raised = lift if lifted else np.ones_like
     rng = np.random.default_rng(17)
     raw, offsets = tokens.buffers(pa.array(texts, pa.large_string()))
     rows = []
-    for a, b in tokens.pieces(offsets):
+    for a, b in tokens.pieces(offsets, 1 << 17):
         base, part = offsets[a], offsets[a : b + 1]
         number, at, grams, gram_at = bag(raw[base : part[-1]], part - base)
         for i in range(b - a):
@@ -115,7 +120,7 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, step: float
             index = np.repeat(gram_at[kinds] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             feature, back = np.unique(grams[index], return_inverse=True)
             weight = np.bincount(back, np.repeat(count / n, n)) / count.sum()
-            rows.append((feature, weight.astype(np.float32), int(count.sum())))
+            rows.append((feature.astype(np.int32), weight.astype(np.float32), int(count.sum())))
     size = 2 << BUCKET_BITS
     many = np.bincount(label, minlength=2)
     texts_with, mass = np.zeros((2, size), np.int32), np.zeros(size)
@@ -126,11 +131,11 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, step: float
     rates = texts_with / np.maximum(many, 1)[:, None]
     spread = np.sqrt(np.maximum(both / max(1, many.sum()), 1e-12) * (1 / max(1, many[0]) + 1 / max(1, many[1])))
     surprise = (rates[1] - rates[0]) / spread
-    scale = USUAL / (USUAL + mass / max(1, len(rows))) * np.maximum(0, 1 - (SURE / np.maximum(np.abs(surprise), 1e-9)) ** 2)
+    scale = USUAL / (USUAL + mass / max(1, len(rows))) * np.maximum(0, 1 - (sure / np.maximum(np.abs(surprise), 1e-9)) ** 2)
     scale = np.where(both >= LEAST_TEXTS, scale, 0).astype(np.float32)
     heed = (many.sum() / np.maximum(2 * many, 1)) ** 0.5
     words = np.array([r[2] for r in rows])
-    rows = [(f[keep], w[keep] * scale[f[keep]] * lift(n)) for (f, w), n in zip(((r[0], r[1]) for r in rows), words, strict=True) for keep in [scale[f] > 0]]
+    rows = [(f[keep], w[keep] * scale[f[keep]] * np.float32(raised(np.float64(n)))) for (f, w), n in zip(((r[0], r[1]) for r in rows), words, strict=True) for keep in [scale[f] > 0]]
     share = np.bincount(label, minlength=2) / max(1, len(label))
     vectors = np.zeros((size, width), np.float32)
     out = rng.normal(0, 0.3, (width, 2)).astype(np.float32)
@@ -158,12 +163,35 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, step: float
     return Model(gain.astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_chars: int = TRAIN_CHARS) -> Model:
-    """A model of a sample of about ``per_class`` rows of each class. Without labelled rows all scores are 0.5."""
-    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in labelled(docs, labels, label, per_class, most_chars).collect())
-    if not rows:
-        return Model(np.zeros(2 << BUCKET_BITS, np.float32), 0.0)
-    return train([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_chars: int = TRAIN_CHARS, all_chars: int = ALL_CHARS) -> Model:
+    """A model of a sample of about ``per_class`` rows of each class, of ``all_chars`` characters at most.
+
+    One task trains and returns what n-grams add, a table of fixed size. Without labelled rows all scores are 0.5.
+    """
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size += len(text)
+                if size > all_chars and len(rows) > 1:
+                    break
+                rows.append((doc_id, text, y))
+        if rows:
+            rows.sort()
+            model = train([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+            index = np.flatnonzero(model.gain).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([index.tobytes()]), pa.array([model.gain[index].tobytes()])], ["bias", "index", "gain"])
+
+    sample = labelled(docs, labels, label, per_class, most_chars)
+    # in the order of a hash, so that a sample cut by its size holds both classes
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit("order"), "doc_id"), "text", "label")
+    out = np.zeros(2 << BUCKET_BITS, np.float32)
+    found = sample.mapInArrow(run, "bias double, index binary, gain binary").collect()
+    if not found:
+        return Model(out, 0.0)
+    out[np.frombuffer(found[0]["index"], np.int32)] = np.frombuffer(found[0]["gain"], np.float32)
+    return Model(out, found[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
