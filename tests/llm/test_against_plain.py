@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from mapql.llm import decontaminate, exact, graph, html, lines, neardup, tokens, warc
+from mapql.llm import decontaminate, exact, graph, html, lines, neardup, quality, sample, tokens, toxicity, urls, warc
 from mapql.runtime import new_shared_path
 
 
@@ -219,9 +219,10 @@ def test_archives_round_trip(spark):
     rows = [(i, f"http://h/{i}\n%", "é" * 200 if i % 3 == 0 else f"<p>{i}</p>") for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder, again = new_shared_path(spark, "warc"), new_shared_path(spark, "warc")
-    first = warc.write_archives(warc.plan(pages), folder, archive_bytes=2000)
+    first = warc.write_archives(warc.captures(pages), folder, archive_bytes=2000)
     second = warc.deduplicate(spark, first, folder, again)
-    for manifest, where in ((first, folder), (second, again)):
+    third = warc.deduplicate(spark, second, again, folder + "-3")
+    for manifest, where in ((second, again), (third, folder + "-3")):
         records = warc.read_archives(spark, manifest, where).cache()
         found = {r["page_id"]: r for r in warc.resolve(records).collect()}
         assert len(found) == 30 and found[3]["record_type"] == "revisit" and found[3]["refers_to"] == 0 and found[3]["payload_bytes"] == 400
@@ -230,6 +231,130 @@ def test_archives_round_trip(spark):
             assert found[i]["payload"] is None if found[i]["record_type"] == "revisit" else bytes(found[i]["payload"]).decode() == text
 
 
+def test_archives_of_repeated_and_missing_ids(spark):
+    """Records stay apart by record id, and each revisit leads to its own bytes."""
+    a, b, c = "A" * 150, "B" * 150, "c"
+    rows = [(1, b), (1, a), (2, a), (3, b), (None, a), (None, "N" * 120), (None, "N" * 120), (4, c), (4, c), (5, c), (1, a)]
+    pages = spark.createDataFrame([(i, f"http://h/{n}", t) for n, (i, t) in enumerate(rows)], "page_id long, url string, html string")
+    folder = new_shared_path(spark, "warc")
+    manifest = warc.write_archives(warc.captures(pages), folder)
+    for turn in range(2):
+        manifest = warc.deduplicate(spark, manifest, folder, f"{folder}-{turn}")
+        folder = f"{folder}-{turn}"
+        records = warc.read_archives(spark, manifest, folder).collect()
+        by_id = {r["record_id"]: r for r in records}
+        assert len(by_id) == len(rows)
+        got = sorted((r["url"], bytes((by_id[r["refers_to_id"]] if r["record_type"] == "revisit" else r)["payload"]).decode(), r["record_type"], r["refers_to"]) for r in records)
+        kinds = ["response", "response", "revisit", "revisit", "revisit", "response", "response", "response", "response", "response", "response"]
+        refers = [None, None, 1, 1, 1, None, None, None, None, None, None]
+        assert got == sorted((f"http://h/{n}", t, kinds[n], refers[n]) for n, (_, t) in enumerate(rows))
+    empty = warc.write_archives(warc.captures(pages.limit(0)), folder + "-none")
+    assert empty.count() == 0 and warc.deduplicate(spark, empty, folder + "-none", folder + "-none2").count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_clusters_cut_into_blocks(spark, block):
+    """Families of random edits: the components of all links, however the clusters are cut."""
+    r = random.Random(11)
+    docs, vocabulary = [], [f"w{i}" for i in range(4000)]
+    for _ in range(6):
+        base = r.sample(vocabulary, 60)
+        for _ in range(14):
+            own = list(base)
+            for i in r.sample(range(60), r.randint(0, 12)):
+                own[i] = r.choice(vocabulary)
+            docs.append((len(docs) + 1, " ".join(own)))
+    sets = {i: frozenset(t.split()) for i, t in docs}
+    root = {i: i for i, _ in docs}
+    changed = True
+    while changed:
+        changed = False
+        for i in sets:
+            for j in sets:
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[j] > root[i]:
+                    root[j], changed = root[i], True
+    found = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=1, block=block)
+    assert {x["doc_id"]: x["component_id"] for x in found.collect()} == root
+
+
+def test_conflicting_rules_have_one_answer(spark):
+    rules = [("allow", "a.org", "/x"), ("block", "a.org", "/x"), ("allow", "org", "/")]
+    pages = spark.createDataFrame([(1, "http://b.a.org/xy"), (2, "http://org/")], "page_id long, url string")
+    for size in (0, 1 << 20):
+        assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, trie_bytes=size).collect()} == {1: "block", 2: "allow"}
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(4)
+    for n in (5, 64, 65, 160, 161, 400):
+        for m in (n, n + 1, n + 30):
+            both = np.unique(r.integers(0, 1 << 63, 600, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+            x, y = np.sort(r.permutation(both)[:n]), np.sort(r.permutation(both)[:m])
+            a, b = lines.bitmaps(x, np.array([0, n])), lines.bitmaps(y, np.array([0, m]))
+            assert lines.apart(a, b, np.array([n]), np.array([m]))[0] <= len(np.setxor1d(x, y))
+            assert lines.apart(a, a, np.array([n]), np.array([n]))[0] == 0
+
+
+def _auc(score, label):
+    order = np.argsort(score)
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    n = label.sum()
+    return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))
+
+
+def test_classifiers_on_held_out_rows(spark):
+    """Fitted without them, the classifiers order the held-out rows; floors lie under what is measured."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    for module, label, least in ((toxicity, "toxic", (0.95, 0.9, 0.95)), (quality, "quality", (0.99, 0.95, 0.95))):
+        rows = module.score(docs.join(labels, "doc_id").where(sample.held_out(labels["doc_id"])), module.fit(docs, labels)).select("score", label).toPandas()
+        said, known = rows["score"].to_numpy() >= module.THRESHOLD, rows[label].to_numpy()
+        hit = (said & (known == 1)).sum()
+        got = _auc(rows["score"].to_numpy(), known), hit / known.sum(), hit / said.sum()
+        assert all(g >= f for g, f in zip(got, least, strict=True)), (label, got)
+
+
+def test_scores_by_hand():
+    """Vectorised scores of both models against sums text by text."""
+    texts = ["Some words, some MORE", "", "x", "über alles und und und", "a\nb a"]
+    raw, offsets = tokens.buffers(pa.array(texts))
+    r = np.random.default_rng(6)
+    model = toxicity.Model(r.normal(0, 1, 2 << toxicity.BUCKET_BITS).astype(np.float32), 0.25)
+    for text, score in zip(texts, model.scores(raw, offsets), strict=True):
+        number, at, grams, gram_at = toxicity.bag(*tokens.buffers(pa.array([text])))
+        words = [model.gain[grams[gram_at[k] : gram_at[k + 1]]].mean() for k in number]
+        z = 0.25 + (sum(words) / len(words) * len(words) ** 0.5 if words else 0)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-5
+    x = quality.measure(raw, offsets)
+    edges = [np.sort(r.normal(0, 1, 3)) for _ in quality.MEASURES]
+    tables = [r.normal(0, 1, 4) for _ in edges]
+    pairs = [(3, 1, edges[3], edges[1], r.normal(0, 1, (4, 4)))]
+    for i, score in enumerate(quality.Model(0.5, edges, tables, pairs).scores(x)):
+        z = 0.5 + sum(t[sum(e <= v)] for e, t, v in zip(edges, tables, x[i], strict=True)) + pairs[0][4][sum(edges[3] <= x[i][3]), sum(edges[1] <= x[i][1])]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_training_learns_a_rule():
+    """Tiny sets whose rule is known: a misspelt word, and a pair of measures that only counts together."""
+    texts = [f"{'rudeword' if i % 2 else 'kindword'} and so on {i}" for i in range(60)]
+    model = toxicity.train(texts, np.arange(60) % 2)
+    new = model.scores(*tokens.buffers(pa.array(["a rudewort indeed", "a kindwort indeed"])))
+    assert new[0] > 0.5 > new[1]
+    r = np.random.default_rng(9)
+    x = r.uniform(0, 1, (2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    score = quality.train(x, y).scores(x)
+    assert score[y == 1].mean() > 0.8 > 0.2 > score[y == 0].mean()
+
+
+def test_differencing_decides_pages_without_marks():
+    """Menus of no telling name go because the neighbour has them; without a neighbour they stay."""
+    page = lambda n: html.lines(f"<html><body><div>Start</div><div>Shop</div><p>Text {n}.</p><p>More of {n}.</p><div>Bottom</div></body></html>")
+    assert html.main_text(page(1), page(2)) == "Text 1.\nMore of 1."
+    assert html.main_text(page(1), None) == "Start\nShop\nText 1.\nMore of 1.\nBottom"
+
+
 @pytest.mark.parametrize("long", [8, 256])
 def test_similar_lines_share_a_key(monkeypatch, long):
     """Also where words are frequent, and lines on either side of LONG."""

@@ -3,6 +3,7 @@
 import pytest
 
 from mapql.llm import decontaminate, exact, html, lines, mixing, neardup, quality, toxicity, urls, warc
+from mapql.runtime import new_shared_path
 
 SCHEMA = "doc_id long, text string, source string, score double, _taken int, host string, n_hit long"
 LONG = "word " * 30_000
@@ -85,7 +86,9 @@ def test_pages(spark, rows):
     key = lambda df: sorted(map(repr, df.select("page_id", "url", "host", "path", "rule", "verdict").collect()))
     assert key(judged) == key(joined) and judged.count() == len(rows)
     assert html.extract(pages).count() == len(rows)
-    planned = warc.plan(pages).collect()
+    folder = new_shared_path(spark, "warc")
+    manifest = warc.deduplicate(spark, warc.write_archives(warc.captures(pages), folder), folder, folder + "-2")
+    planned = warc.resolve(warc.read_archives(spark, manifest, folder + "-2")).collect()
     assert len(planned) == len(rows)
     if rows:
         found = {r["page_id"]: r for r in judged.collect()}
