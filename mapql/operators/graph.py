@@ -51,9 +51,9 @@ def up_ids(data: Dataset, source: DataFrame, parents: tuple[str, ...] = ("way",
     keys = source.where(F.col("type").isin(*of)).select("type", "id").distinct()
     out = None
     if "way" in parents and "node" in of:
-        out = way_refs(data.way).join(keys.where("type = 'node'").select(F.col("id").alias("node_id")), "node_id", "left_semi").select(F.lit("way").alias("type"), F.col("way_id").alias("id"))
+        out = (way_refs(data.way) if data.node_way is None else data.node_way).join(keys.where("type = 'node'").select(F.col("id").alias("node_id")), "node_id", "left_semi").select(F.lit("way").alias("type"), F.col("way_id").alias("id"))
     if "relation" in parents:
-        m = memberships(data.relation)
+        m = memberships(data.relation) if data.member is None else data.member
         m = m if role is None else m.where(F.col("role") == role)
         m = m.join(keys.select(F.col("type").alias("member_type"), F.col("id").alias("member_id")), ["member_type", "member_id"], "left_semi").select(F.lit("relation").alias("type"), F.col("parent_id").alias("id"))
         out = m if out is None else out.unionByName(m)

@@ -45,6 +45,11 @@ def states_at(history: DataFrame, t: Column) -> DataFrame:
     return latest.select("type", "id", "s.*")
 
 
+def current(history: DataFrame) -> DataFrame:
+    """The state of each element that no later one has ended, deleted ones too."""
+    return history.where("valid_to IS NULL")
+
+
 def snapshot(history: DataFrame, t: Column) -> DataFrame:
     """Visible elements at ``t``; predicates belong outside, on what this returns."""
     return states_at(history, t).where("visible")
@@ -64,7 +69,7 @@ def timeline(history: DataFrame, kind: str, number: int, version: int | None = N
     return rows if version is None else rows.where(F.col("version") == version)
 
 
-def diff(old: DataFrame, new: DataFrame, compare: tuple[str, ...] = ("version", "lat_e7", "lon_e7", "tags")) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, compare: tuple[str, ...] = ("version", "lat_e7", "lon_e7", "tags", "refs", "members", "geometry")) -> DataFrame:
     """create, modify and delete between two sets, with old and new rows as structs."""
     pick = lambda df, name: df.select("type", "id", F.struct(*compare).alias(name))
     both = pick(old, "old").join(pick(new, "new"), ["type", "id"], "full_outer")

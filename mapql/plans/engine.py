@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mapql.functions import geo, values
 from mapql.operators import graph, history, spatial
 from mapql.ql import syntax as s
-from mapql.sources.schema import AREA_BASE, Dataset, canonical, empty
+from mapql.sources.cells import cells_meeting
+from mapql.sources.schema import AREA_BASE, Dataset, canonical, empty, promoted_column
 
 #: Letters of TYPES as kinds.
 KINDS = {"n": "node", "w": "way", "r": "relation"}
@@ -43,7 +44,7 @@ def tag_filter(f: s.Filter, promoted: tuple[str, ...] = ()) -> Column | None:
     """A filter on tags as a column; keys with a column of their own use that, so that Parquet can skip."""
     a = f.args
     key = a.get("key")
-    v = F.col(key) if key in promoted else F.col("tags")[key] if key else None
+    v = F.col(promoted_column(key)) if key in promoted else F.col("tags")[key] if key else None
     if f.kind == "equals":
         return v == a["value"]
     if f.kind == "differs":
@@ -76,9 +77,13 @@ class Engine:
             return self.data
         if self.data.history is None:
             raise s.RuntimeQueryError("no history in this dataset")
-        then = history.snapshot(self.data.history, history.instant(date))
+        return self.of_states(history.states_at(self.data.history, history.instant(date)))
+
+    def of_states(self, states: DataFrame) -> Dataset:
+        """Tables of the visible ones of some states."""
+        then = states.where("visible")
         kinds = {k: canonical(then.where(F.col("type") == k)) for k in KINDS.values()}
-        return replace(self.data, node=kinds["node"], way=kinds["way"], relation=kinds["relation"])
+        return replace(self.data, node=kinds["node"], way=kinds["way"], relation=kinds["relation"], promoted=(), cells=None, by_id=None, node_way=None, member=None)
 
     def body(self, program: s.Program, data: Dataset) -> Context:
         ctx = Context(self.spark, data, program.settings, {"_": empty(self.spark)})
@@ -91,17 +96,19 @@ class Engine:
         span = program.settings.diff or program.settings.adiff
         if span is None:
             raise s.RuntimeQueryError("no diff or adiff setting")
+        if self.data.history is None:
+            raise s.RuntimeQueryError("no history in this dataset")
+        # without a second time the states that hold now are the other side
+        times = [history.instant(t) if t else None for t in (span[0], span[1] if len(span) > 1 else None)]
+        states = [history.states_at(self.data.history, t) if t is not None else history.current(self.data.history) for t in times]
         sides = []
-        for t in span:
-            ctx = self.body(program, self.at(t))
-            rows = ctx.outputs[0].rows
-            for o in ctx.outputs[1:]:
-                rows = rows.unionByName(o.rows)
-            sides.append(rows.dropDuplicates(["type", "id"]))
-        if program.settings.diff:
-            return history.diff(*sides)
-        states = [history.states_at(self.data.history, history.instant(t)) for t in span]
-        return history.augmented(*sides, *states)
+        for then in states:
+            ctx = self.body(program, self.of_states(then))
+            rows = empty(self.spark)
+            for o in ctx.outputs:
+                rows = rows.unionByName(o.rows.select(rows.columns))
+            sides.append(first_of_each(rows))
+        return history.diff(*sides) if program.settings.diff else history.augmented(*sides, *states)
 
     def all(self, body: list, ctx: Context) -> None:
         for statement in body:
@@ -132,6 +139,8 @@ class Engine:
         boxes = [f.args["bbox"] for f in q.filters if f.kind == "bbox"]
         if not boxes and ctx.settings.bbox and not q.sets:
             boxes = [ctx.settings.bbox]
+        if data.cells and not q.sets:
+            rows = self.in_cells(rows, kind, boxes, [f.args["ids"] for f in q.filters if f.kind == "ids"], data)
         # cheap predicates first, so that geometry and joins see few rows
         for f in q.filters:
             c = tag_filter(f, data.promoted)
@@ -165,6 +174,16 @@ class Engine:
                 rows = rows.join(ways.unionByName(rels), ["type", "id"], "left_semi")
         return rows.select(data.node.columns)
 
+    @staticmethod
+    def in_cells(rows: DataFrame, kind: str, boxes: list, ids: list, data: Dataset) -> DataFrame:
+        """Only the files of cells that boxes meet, or that parts by id name for what is asked by id."""
+        for box in boxes:
+            rows = rows.where(F.col("cell").isin(cells_meeting(data.cells[kind], box)))
+        for some in ids:
+            found = data.by_id[kind].where(F.col("id").isin(some)).select("cell").distinct()
+            rows = rows.where(F.col("cell").isin([r["cell"] for r in found.collect()]))
+        return rows
+
     def changed(self, rows: DataFrame, f: s.Filter, data: Dataset) -> DataFrame:
         since = history.instant(f.args["since"])
         until = history.instant(f.args["until"]) if f.args["until"] else None
@@ -265,7 +284,7 @@ class Engine:
             if isinstance(statement, s.Item):
                 part = ctx.set(statement.source)
             out = part if out is None else out.unionByName(part)
-        return empty(self.spark) if out is None else out.dropDuplicates(["type", "id"]) if len(body) > 1 else out
+        return empty(self.spark) if out is None else first_of_each(out) if len(body) > 1 else out
 
     def do_union(self, u: s.Union, ctx: Context) -> None:
         ctx.sets[u.into] = self.merged(u.body, ctx)
@@ -312,9 +331,15 @@ class Engine:
             y, x = (round(v * geo.E7) for v in i.point)
             points = self.spark.range(1).select(F.lit(y).alias("lat_e7"), F.lit(x).alias("lon_e7"))
         else:
-            points = ctx.set(i.source).where("type = 'node'")
+            points = self.all_places(ctx.set(i.source), ctx.data)
         ctx.sets[i.into] = spatial.is_in(points, ctx.data)
 
+    @staticmethod
+    def all_places(source: DataFrame, data: Dataset) -> DataFrame:
+        """Points of nodes, of ways' lines, and of the node and way members of relations."""
+        members = graph.down_ids(source, ("node", "way"), edges="r")
+        return spatial.places(source.select("type", "lat_e7", "lon_e7", "geometry").unionByName(graph.fetch(data, members).select("type", "lat_e7", "lon_e7", "geometry")))
+
     def do_maptoarea(self, m: s.MapToArea, ctx: Context) -> None:
         source = ctx.set(m.source)
         ways = spatial.closed_ways(source)
@@ -339,6 +364,13 @@ class Engine:
         ctx.outputs.append(Output(rows, o))
 
 
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """One row for each element, of several the one that has a geometry, as a partial aggregate."""
+    rest = [c for c in rows.columns if c not in ("type", "id")]
+    rank = F.struct(F.col("geometry").isNotNull(), F.col("ymin_e7").isNotNull(), F.col("version"))
+    return rows.groupBy("type", "id").agg(F.max_by(F.struct(*rest), rank).alias("_r")).select("type", "id", "_r.*").select(rows.columns)
+
+
 def counts(rows: DataFrame) -> DataFrame:
     """``out count``: one row of totals by type."""
     of = lambda k: F.count_if(F.col("type") == k).alias(f"{k}s")

@@ -30,6 +30,11 @@ def canonical(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in FIELDS], *extra)
 
 
+def promoted_column(key: str) -> str:
+    """The column of a promoted key; keys may be called like columns that rows have already."""
+    return f"tag_{key}"
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType(FIELDS))
 
@@ -44,6 +49,11 @@ class Dataset:
     area: DataFrame | None = None
     history: DataFrame | None = None
     promoted: tuple[str, ...] = ()
+    #: Of a stored dataset: cells by kind, parts by id, and the reverse indexes.
+    cells: dict[str, tuple[str, ...]] | None = None
+    by_id: dict[str, DataFrame] | None = None
+    node_way: DataFrame | None = None
+    member: DataFrame | None = None
 
     def of(self, kind: str) -> DataFrame:
         return {"node": self.node, "way": self.way, "relation": self.relation}[kind]
@@ -72,7 +82,20 @@ def _tags(**columns: str):  # noqa: ANN202
     return F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), F.col(c).cast("string"))])
 
 
+_known: dict[tuple[str, int, str], Dataset] = {}
+
+
 def orders_as_map(spark: SparkSession, sf_dir: str) -> Dataset:
+    """``made_of_orders``, whose plans (not rows) are made once for each session and folder."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _known:
+        if len(_known) >= 8:
+            _known.clear()
+        _known[key] = made_of_orders(spark, sf_dir)
+    return _known[key]
+
+
+def made_of_orders(spark: SparkSession, sf_dir: str) -> Dataset:
     """Parts as nodes, orders as ways over their parts, customers, nations and regions as relations, and events
     as the history of nodes. The rule uses whole numbers only, so any engine computes the same places."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
