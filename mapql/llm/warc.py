@@ -155,8 +155,8 @@ def parse(raw: bytes):
         yield (fields["WARC-Record-ID"], fields["WARC-Type"], int(page) if page else None, _unclean(fields.get("WARC-Target-URI")), fields["WARC-Date"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), None if revisit else len(payload), fields.get("WARC-Refers-To"), int(other) if other else None, None if revisit else payload)
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the archives that a manifest names."""
+def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """The records of the archives that a manifest names, each read by the task that has its row."""
     schema = spark.createDataFrame([], RECORD).schema
     arrow = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
@@ -165,9 +165,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema.names)
 
         for batch in batches:
-            for raw in batch.column(0):
+            for path in batch.column(0).to_pylist():
+                fs, name = _filesystem(path)
+                with fs.open_input_stream(name, compression=None) as archive:
+                    raw = archive.read()
                 rows, size = [], 0
-                for record in parse(raw.as_py()):
+                for record in parse(raw):
                     rows.append(record)
                     size += len(record[-1] or b"")
                     if size > 4 << 20:
@@ -176,12 +179,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                 if rows:
                     yield out(rows)
 
-    if manifest.isEmpty():
-        return spark.createDataFrame([], RECORD)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    named = manifest.select(name.alias("name"))
-    return files.select(name.alias("name"), "content").join(named, "name", "left_semi").select("content").mapInArrow(read, schema)
+    return manifest.select("path").mapInArrow(read, schema)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -199,15 +197,15 @@ def resolve(records: DataFrame) -> DataFrame:
     return records.where("record_type <> 'revisit'").unionByName(revisits)
 
 
-def deduplicate(spark: SparkSession, manifest: DataFrame, folder: str, target: str, least: int = LEAST_BYTES) -> DataFrame:
-    """Write deduplicated archives of those in ``folder`` to ``target``, with fresh headers; returns the manifest.
+def deduplicate(spark: SparkSession, manifest: DataFrame, target: str, least: int = LEAST_BYTES) -> DataFrame:
+    """Write deduplicated archives of those that ``manifest`` names to ``target``, with fresh headers; returns theirs.
 
     Of equal payloads of at least ``least`` bytes that with the smallest page_id is the response, and the others
     revisit it, but for those that share its page_id, which are responses all. Rows without a page_id revisit one
     that has one, or are responses where none has. A revisit of the input whose original is there counts as a record
     with that payload; one without is dropped, as its payload is nowhere.
     """
-    records = read_archives(spark, manifest, folder)
+    records = read_archives(spark, manifest)
     heads = cut(resolve(records.drop("payload")).where("payload_bytes IS NOT NULL").drop("record_type", "date", "refers_to"))
     found = cut(originals(heads, least).withColumnRenamed("payload_digest", "d"))
     repeated = bloom.build(found.select(F.xxhash64("d").alias("k")), "k")
@@ -235,9 +233,9 @@ def _fresh(column: str) -> Column:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, again = new_shared_path(spark, "warc"), new_shared_path(spark, "warc")
     first = write_archives(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
-    second = deduplicate(spark, first, folder, again)
+    second = deduplicate(spark, first, again)
     delete_path(spark, folder)
-    heads = cut(read_archives(spark, second, again).drop("payload"))
+    heads = cut(read_archives(spark, second).drop("payload"))
     delete_path(spark, again)
     return resolve(heads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

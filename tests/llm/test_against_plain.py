@@ -220,10 +220,10 @@ def test_archives_round_trip(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder, again = new_shared_path(spark, "warc"), new_shared_path(spark, "warc")
     first = warc.write_archives(warc.captures(pages), folder, archive_bytes=2000)
-    second = warc.deduplicate(spark, first, folder, again)
-    third = warc.deduplicate(spark, second, again, folder + "-3")
-    for manifest, where in ((second, again), (third, folder + "-3")):
-        records = warc.read_archives(spark, manifest, where).cache()
+    second = warc.deduplicate(spark, first, again)
+    third = warc.deduplicate(spark, second, folder + "-3")
+    for manifest in (second, third):
+        records = warc.read_archives(spark, manifest).cache()
         found = {r["page_id"]: r for r in warc.resolve(records).collect()}
         assert len(found) == 30 and found[3]["record_type"] == "revisit" and found[3]["refers_to"] == 0 and found[3]["payload_bytes"] == 400
         for i, url, text in rows:
@@ -239,9 +239,9 @@ def test_archives_of_repeated_and_missing_ids(spark):
     folder = new_shared_path(spark, "warc")
     manifest = warc.write_archives(warc.captures(pages), folder)
     for turn in range(2):
-        manifest = warc.deduplicate(spark, manifest, folder, f"{folder}-{turn}")
         folder = f"{folder}-{turn}"
-        records = warc.read_archives(spark, manifest, folder).collect()
+        manifest = warc.deduplicate(spark, manifest, folder)
+        records = warc.read_archives(spark, manifest).collect()
         by_id = {r["record_id"]: r for r in records}
         assert len(by_id) == len(rows)
         got = sorted((r["url"], bytes((by_id[r["refers_to_id"]] if r["record_type"] == "revisit" else r)["payload"]).decode(), r["record_type"], r["refers_to"]) for r in records)
@@ -249,7 +249,7 @@ def test_archives_of_repeated_and_missing_ids(spark):
         refers = [None, None, 1, 1, 1, None, None, None, None, None, None]
         assert got == sorted((f"http://h/{n}", t, kinds[n], refers[n]) for n, (_, t) in enumerate(rows))
     empty = warc.write_archives(warc.captures(pages.limit(0)), folder + "-none")
-    assert empty.count() == 0 and warc.deduplicate(spark, empty, folder + "-none", folder + "-none2").count() == 0
+    assert empty.count() == 0 and warc.deduplicate(spark, empty, folder + "-none2").count() == 0
 
 
 @pytest.mark.parametrize("block", [4, 2048])

@@ -87,8 +87,8 @@ def test_pages(spark, rows):
     assert key(judged) == key(joined) and judged.count() == len(rows)
     assert html.extract(pages).count() == len(rows)
     folder = new_shared_path(spark, "warc")
-    manifest = warc.deduplicate(spark, warc.write_archives(warc.captures(pages), folder), folder, folder + "-2")
-    planned = warc.resolve(warc.read_archives(spark, manifest, folder + "-2")).collect()
+    manifest = warc.deduplicate(spark, warc.write_archives(warc.captures(pages), folder), folder + "-2")
+    planned = warc.resolve(warc.read_archives(spark, manifest)).collect()
     assert len(planned) == len(rows)
     if rows:
         found = {r["page_id"]: r for r in judged.collect()}
