@@ -24,7 +24,7 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _split(df: DataFrame, key: Column, words: np.ndarray, hit: bool) -> DataFrame:
+def _split(df: DataFrame, key: Column, words: np.ndarray, hit: bool, change=None, schema=None) -> DataFrame:  # noqa: ANN001, PLR0913
     shared = df.sparkSession.sparkContext.broadcast(words)
     name = "_bloom_bit"
     bit = F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << BITS))
@@ -34,9 +34,10 @@ def _split(df: DataFrame, key: Column, words: np.ndarray, hit: bool) -> DataFram
         for batch in batches:
             b = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             found = ((m[b >> 6] >> (b & 63)) & 1).astype(bool)
-            yield batch.filter(pa.array(found == hit)).drop_columns([name])
+            batch = batch.filter(pa.array(found == hit)).drop_columns([name])
+            yield change(batch) if change else batch
 
-    return df.withColumn(name, bit).mapInArrow(keep, df.schema)
+    return df.withColumn(name, bit).mapInArrow(keep, schema or df.schema)
 
 
 def thin(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
@@ -44,6 +45,9 @@ def thin(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
     return _split(df.where(F.col(column).isNotNull()), F.col(column), words, True)
 
 
-def divide(df: DataFrame, key: Column, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` whose key (never null) may be in the filter, and those whose key isn't."""
-    return _split(df, key, words, True), _split(df, key, words, False)
+def divide(df: DataFrame, key: Column, words: np.ndarray, change=None, schema=None) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """Rows of ``df`` whose key (never null) may be in the filter, and those whose key isn't.
+
+    ``change`` makes batches of the former into others, of ``schema``.
+    """
+    return _split(df, key, words, True, change, schema), _split(df, key, words, False)
