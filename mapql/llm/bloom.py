@@ -34,20 +34,19 @@ def _split(df: DataFrame, key: Column, words: np.ndarray, hit: bool, change=None
         for batch in batches:
             b = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             found = ((m[b >> 6] >> (b & 63)) & 1).astype(bool)
-            batch = batch.filter(pa.array(found == hit)).drop_columns([name])
-            yield change(batch) if change else batch
+            yield batch.filter(pa.array(found == hit)).drop_columns([name])
 
-    return df.withColumn(name, bit).mapInArrow(keep, schema or df.schema)
+    return df.withColumn(name, bit).mapInArrow((lambda batches: change(keep(batches))) if change else keep, schema or df.schema)
 
 
-def thin(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose value may be in the filter."""
-    return _split(df.where(F.col(column).isNotNull()), F.col(column), words, True)
+def thin(df: DataFrame, column: str, words: np.ndarray, change=None, schema=None) -> DataFrame:  # noqa: ANN001
+    """Rows of ``df`` whose value may be in the filter; ``change`` makes their batches into others, of ``schema``."""
+    return _split(df.where(F.col(column).isNotNull()), F.col(column), words, True, change, schema)
 
 
-def divide(df: DataFrame, key: Column, words: np.ndarray, change=None, schema=None) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+def divide(df: DataFrame, key: Column, words: np.ndarray, of_hit: tuple = (), of_rest: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose key (never null) may be in the filter, and those whose key isn't.
 
-    ``change`` makes batches of the former into others, of ``schema``.
+    Each may have a function that makes an iterator of its batches into another, and the schema of that.
     """
-    return _split(df, key, words, True, change, schema), _split(df, key, words, False)
+    return _split(df, key, words, True, *of_hit), _split(df, key, words, False, *of_rest)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapql.functions import geo
 from mapql.operators.graph import memberships
-from mapql.sources.schema import AREA_BASE, Dataset, canonical
+from mapql.sources.schema import AREA_BASE, BOUNDS, Dataset, canonical
 
 BAND = 100_000
 #: Keys by which a closed way is found as an area.
@@ -136,11 +136,68 @@ def area_rows(data: Dataset) -> DataFrame:
     return ways if data.area is None else data.area.unionByName(ways)
 
 
+def stitched(lines: list) -> list[tuple[list, list]]:
+    """Closed rings (lats, lons) of lines (refs, lats, lons) that meet where they end.
+
+    A walk along unused lines cuts off a ring as soon as it is back at a node it has passed, and steps back where it
+    can't go on, so each line is looked at once, and what hangs on a ring doesn't spoil it. Equal lines count once.
+    """
+    rings, seen, open_, ends = [], set(), [], {}
+    for refs, ys, xs in lines:
+        refs = [int(r) for r in refs]
+        key = min(tuple(refs), tuple(reversed(refs)))
+        if key in seen:
+            continue
+        seen.add(key)
+        if refs[0] == refs[-1]:
+            if len(refs) >= 4:
+                rings.append((list(ys), list(xs)))
+            continue
+        for end in (refs[0], refs[-1]):
+            ends.setdefault(end, []).append(len(open_))
+        open_.append((refs, list(ys), list(xs)))
+    used = [False] * len(open_)
+
+    def unused_at(node: int) -> int | None:
+        while ends[node]:
+            k = ends[node].pop()
+            if not used[k]:
+                return k
+        return None
+
+    for start in [refs[0] for refs, _, _ in open_]:
+        node, path, at = start, [], {}
+        while True:
+            k = unused_at(node)
+            if k is None and not path:
+                break
+            if k is None:
+                node = path.pop()[0]
+                del at[node]
+                continue
+            used[k] = True
+            refs, ys, xs = open_[k]
+            forward = refs[0] == node
+            at[node] = len(path)
+            path.append((node, ys if forward else ys[::-1], xs if forward else xs[::-1]))
+            node = refs[-1] if forward else refs[0]
+            if node in at:
+                loop = path[at[node] :]
+                del path[at[node] :]
+                for passed, _, _ in loop:
+                    del at[passed]
+                ring = tuple([*loop[0][i], *(v for piece in loop[1:] for v in piece[i][1:])] for i in (1, 2))
+                if len(ring[0]) >= 4:
+                    rings.append(ring)
+    return rings
+
+
 def assembled(data: Dataset) -> DataFrame:
     """Areas of relations: members' lines stitched to closed rings by their end nodes, in a task for each relation.
 
     Inner rings stay as rings: a point is inside if an odd number of ring segments is crossed. Rings of a relation
-    are written one after the other, with a null between, over which no segment is made.
+    are written one after the other, with a null after each, over which no segment is made. Lines with a node that
+    is missing have no part in it. A relation's members meet in one task, as a relation is a row already.
     """
     import pandas as pd
 
@@ -153,27 +210,18 @@ def assembled(data: Dataset) -> DataFrame:
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         lat, lon = [], []
-        for _, part in pdf.groupby("role"):
-            open_ = [(list(r), list(a), list(o)) for r, a, o in zip(part["refs"], part["lat"], part["lon"], strict=True)]
-            while open_:
-                refs, ys, xs = open_.pop()
-                while refs[0] != refs[-1]:
-                    k = next((k for k, (r, _, _) in enumerate(open_) if refs[-1] in (r[0], r[-1])), None)
-                    if k is None:
-                        break
-                    r, a, o = open_.pop(k)
-                    if r[0] != refs[-1]:
-                        r, a, o = r[::-1], a[::-1], o[::-1]
-                    refs, ys, xs = refs + r[1:], ys + a[1:], xs + o[1:]
-                if refs[0] == refs[-1] and len(refs) >= 4:
-                    lat += [*ys, None]
-                    lon += [*xs, None]
-        return pd.DataFrame({"id": [pdf["parent_id"].iloc[0]], "lat": [lat], "lon": [lon]}) if lat else pd.DataFrame({"id": [], "lat": [], "lon": []})
+        for _, part in pdf.sort_values("id").groupby("role"):
+            for ys, xs in stitched(list(zip(part["refs"], part["lat"], part["lon"], strict=True))):
+                lat += [*ys, None]
+                lon += [*xs, None]
+        found = [(pdf["parent_id"].iloc[0], lat, lon)] if lat else []
+        return pd.DataFrame({"id": pd.Series([f[0] for f in found], dtype="int64"), **{n: pd.Series([f[i] for f in found], dtype=object) for i, n in ((1, "lat"), (2, "lon"))}})
 
     found = lines.groupBy("parent_id").applyInPandas(stitch, "id long, lat array<int>, lon array<int>")
     ring = F.transform(F.arrays_zip("lat", "lon"), lambda p: F.when(p["lat"].isNotNull(), F.struct(p["lat"].alias("lat_e7"), p["lon"].alias("lon_e7"))))
-    found = found.select(F.col("id").alias("r"), ring.alias("ring"))
-    out = rels.join(found, F.col("id") == F.col("r")).drop("r", "geometry").withColumnRenamed("ring", "geometry")
+    bounds = [f("l" + c).alias(n) for f, c, n in ((F.array_min, "on", "xmin_e7"), (F.array_min, "at", "ymin_e7"), (F.array_max, "on", "xmax_e7"), (F.array_max, "at", "ymax_e7"))]
+    found = found.select(F.col("id").alias("r"), ring.alias("geometry"), *bounds)
+    out = rels.drop("geometry", *BOUNDS).join(found, F.col("id") == F.col("r")).drop("r")
     return canonical(out.withColumns({"type": F.lit("area"), "id": F.col("id") + AREA_BASE, "refs": F.lit(None).cast("array<long>")}))
 
 

@@ -14,9 +14,10 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mapql.functions import geo
-from mapql.operators import graph
+from mapql.operators import graph, spatial
 from mapql.runtime import delete_path
 from mapql.sources.schema import FIELDS, Dataset, canonical, promoted_column
 from mapql.streaming import updates
@@ -154,7 +155,9 @@ def build(spark: SparkSession, data: Dataset, path: str, promoted: tuple[str, ..
         write_by_id(stored.drop("tagged", *(("geometry",) if kind != "node" else ())), f"{folder}/{kind}_by_id")
     write_by_id(graph.way_refs(data.way).select("node_id", "way_id"), f"{folder}/node_way", "node_id", "way_id")
     write_by_id(graph.memberships(data.relation), f"{folder}/member", "member_type", "member_id", "parent_id")
-    manifest = {"number": number, "folder": folder, "promoted": list(promoted), "cells": cells, "tiers": [], "sequence": sequence}
+    if data.area is not None:
+        write_by_id(placed(data.area, "area", ()).drop("tagged"), f"{folder}/area")
+    manifest = {"number": number, "folder": folder, "promoted": list(promoted), "cells": cells, "area": data.area is not None, "tiers": [], "sequence": sequence}
     commit(spark, path, manifest)
     return manifest
 
@@ -174,6 +177,8 @@ def open_dataset(spark: SparkSession, path: str, number: int | None = None) -> D
     tables = {k: spark.read.schema(_schema(promoted)).parquet(f"{folder}/{k}").select(*names) for k in KINDS}
     by_id = {k: spark.read.parquet(f"{folder}/{k}_by_id") for k in KINDS}
     data = Dataset(**tables, promoted=promoted, cells={k: tuple(v) for k, v in manifest["cells"].items()}, by_id=by_id, node_way=spark.read.parquet(f"{folder}/node_way"), member=spark.read.parquet(f"{folder}/member"))
+    if manifest.get("area"):
+        data = replace(data, area=spark.read.schema(StructType(FIELDS)).parquet(f"{folder}/area"))
     if not manifest["tiers"]:
         return data
     # rows that any tier has replace those below; moved ones have other cells, so cells no longer tell all
@@ -238,13 +243,17 @@ def fold_tier(spark: SparkSession, path: str, tier: str, into: str) -> dict:
 
 
 def compact(spark: SparkSession, path: str) -> dict:
-    """A new generation with all tiers applied. Ways get their lines anew, as their nodes may have moved."""
+    """A new generation with all tiers applied. Ways get their lines anew, as their nodes may have moved, and areas
+    their rings."""
     from mapql.sources.schema import with_lines
 
     before = load_manifest(spark, path)
     data = open_dataset(spark, path)
     way = canonical(with_lines(canonical(data.way), data.node))
-    return build(spark, replace(data, node=canonical(data.node), way=way, relation=canonical(data.relation)), path, tuple(before["promoted"]), before["sequence"])
+    data = replace(data, node=canonical(data.node), way=way, relation=canonical(data.relation))
+    if data.area is not None:
+        data = replace(data, area=spatial.assembled(data))
+    return build(spark, data, path, tuple(before["promoted"]), before["sequence"])
 
 
 def collect_garbage(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
