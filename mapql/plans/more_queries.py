@@ -10,7 +10,7 @@ from mapql.plans.engine import Context, Engine
 from mapql.plans.queries import _TIERED, _UP, BOX, NODES, ORACLES, QUERIES, RELS, WAYS, _CROSS, add, ask
 from mapql.runtime import new_shared_path
 from mapql.sinks import dataset, render
-from mapql.sources.schema import Dataset, canonical, orders_as_map
+from mapql.sources.schema import Dataset, canonical, orders_as_map, ways_of_orders
 from mapql.streaming import updates
 
 
@@ -194,8 +194,9 @@ def last_minor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("history_lines", _MINOR + ", x AS (SELECT mn.id, minor, mn.ts AS at, ref FROM mn JOIN ref ON ref.id = mn.id), p AS (SELECT x.id, minor, count(*) AS points, sum(s.lat) AS lats FROM x ASOF JOIN state s ON s.id = x.ref AND x.at >= s.ts WHERE s.visible GROUP BY ALL) SELECT id, minor, points, CAST(lats AS BIGINT) AS lats FROM p")
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, data = _minors(spark, sf_dir)
-    lines = states.lines_of(rows, data.way.select("id", "version", "refs"), data.history).where("geometry IS NOT NULL")
+    ways = ways_of_orders(spark, sf_dir)
+    own = ways.select("id", "version", F.col("timestamp").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), "refs")
+    lines = states.minor_lines(own, orders_as_map(spark, sf_dir).history).where("geometry IS NOT NULL")
     lats = F.aggregate("geometry", F.lit(0).cast("long"), lambda acc, p: acc + p["lat_e7"])
     return lines.select("id", F.col("minor").cast("long").alias("minor"), F.size("geometry").cast("long").alias("points"), lats.alias("lats"))
 

@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 import duckdb
 import pytest
 
+from mapql.operators import states
 from mapql.plans import more_queries  # noqa: F401
 from mapql.plans.engine import Engine
 from mapql.plans.queries import ORACLES, QUERIES
@@ -90,3 +91,37 @@ def test_stream_of_changes(spark, tmp_path):
         query.awaitTermination()
         assert query.exception() is None
     assert held == {1: (2, "b"), 2: (2, "d")}
+
+
+def test_lines_over_time_by_hand(spark):
+    """Minors within a version's time only, deleted and unknown points left out, ids of several blocks."""
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    far = 5 << states.BLOCK_BITS
+    own = [(1, 1, at(2), at(6), [7, 8, 7]), (1, 2, at(6), None, [8]), (far, 1, at(0), None, [7, 99]), (3, 1, at(0), None, [99]), (4, 1, at(0), None, [])]
+    nodes = [(7, at(1), True, 10, 11), (7, at(4), True, 20, 21), (7, at(6), False, 0, 0), (8, at(4), True, 30, 31), (8, at(5), False, 0, 0), (8, at(5), True, 40, 41)]
+    own = spark.createDataFrame(own, "id long, version int, valid_from timestamp_ntz, valid_to timestamp_ntz, refs array<long>")
+    nodes = spark.createDataFrame(nodes, "id long, valid_from timestamp_ntz, visible boolean, lat_e7 int, lon_e7 int")
+    got = sorted((r["id"], r["version"], r["minor"], r["valid_from"], r["valid_to"], r["geometry"] and [tuple(p) for p in r["geometry"]]) for r in states.minor_lines(own, nodes).collect())
+    a, b, c, d = (10, 11), (20, 21), (30, 31), (40, 41)
+    assert got == [
+        (1, 1, 0, at(2), at(4), [a, a]), (1, 1, 1, at(4), at(5), [b, c, b]), (1, 1, 2, at(5), at(6), [b, d, b]), (1, 2, 0, at(6), None, [d]),
+        (3, 1, 0, at(0), None, None), (4, 1, 0, at(0), None, None),
+        (far, 1, 0, at(0), at(1), None), (far, 1, 1, at(1), at(4), [a]), (far, 1, 2, at(4), at(6), [b]), (far, 1, 3, at(6), None, None),
+    ]
+
+
+def test_minors_and_their_points_are_not_shuffled(spark):
+    """Rows that are shuffled are in proportion to the input, not to the lines at all times."""
+    context = spark.sparkContext
+
+    def stages():
+        every = spark._jsparkSession.sparkContext().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return {every.apply(i).stageId(): every.apply(i).shuffleWriteRecords() for i in range(every.size())}
+
+    before = set(stages())
+    rows = QUERIES["history_lines"](spark, SMALL)
+    assert rows.where("points < 0").count() == 0
+    after = stages()
+    moved = sum(v for k, v in after.items() if k not in before)
+    events, lineitem, orders = (spark.read.parquet(f"{SMALL}/{t}.parquet").count() for t in ("events", "lineitem", "orders"))
+    assert 0 < moved < 3 * (events + lineitem + orders), (moved, events, lineitem, orders)
