@@ -1,8 +1,11 @@
 """Areas of relations: rings by hand, and queries against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
+from mapql.operators import spatial
 from mapql.operators.spatial import stitched
 from mapql.plans import area_queries  # noqa: F401
 from mapql.plans.queries import ORACLES, QUERIES
@@ -59,3 +62,30 @@ def test_query(spark, name):
     at = [want.columns.index(c) for c in columns]
     rows = sorted(tuple(r[c] for c in columns) for r in got.collect())
     assert rows == sorted(tuple(r[i] for i in at) for r in want.fetchall()) and rows
+
+
+def closed(kind, number, *places):
+    return kind, number, [None if p is None else {"lat_e7": p[0], "lon_e7": p[1]} for p in places]
+
+
+def test_covered_says_what_inside_counts(spark):
+    """Rings with holes, points on lines and vertices, tiny and level areas, lines that aren't closed, and places far away."""
+    rng = random.Random(7)
+    areas = [
+        closed("area", 1, (0, 0), (0, 9000), (9000, 9000), (9000, 0), (0, 0), None, (2000, 2000), (2000, 7000), (7000, 7000), (7000, 2000), (2000, 2000), None),
+        closed("way", 2, (4000, 4000), (4000, 4003), (4003, 4003), (4000, 4000)),
+        closed("way", 3, (5000, 5000), (5000, 6000), (5000, 5500), (5000, 5000)),
+        closed("way", 4, (-50, 9500), (9900, 9600), (50, 9900)),
+    ]
+    for k in range(5, 12):
+        line = [(rng.randrange(12000), rng.randrange(12000)) for _ in range(rng.randrange(3, 7))]
+        areas.append(closed("way", k, *line, line[0]))
+    schema = "type string, id long, geometry array<struct<lat_e7:int,lon_e7:int>>"
+    corners = [(p["lat_e7"], p["lon_e7"]) for _, _, line in areas for p in line if p]
+    spots = [*corners, *((rng.randrange(-300, 12500), rng.randrange(-300, 12500)) for _ in range(1500)), (10**9, 0), (0, -(10**9)), (4001, 4002)]
+    points = spark.createDataFrame([("node", i, *p) for i, p in enumerate(spots)] + [("way", 1, *spots[-1]), ("way", 1, *spots[0]), ("node", -1, None, None)], "type string, id long, lat_e7 int, lon_e7 int")
+    for some in (areas, areas[:1], areas[2:4], areas[3:4], areas[4:5], []):
+        held = spark.createDataFrame(some, schema)
+        want = {tuple(r) for r in spatial.inside(points, held).select("type", "id").distinct().collect()}
+        got = [tuple(r) for r in spatial.covered(points, held).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
