@@ -1,8 +1,9 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import numpy as np
 import pytest
 
-from mapql.llm import decontaminate, exact, html, lines, mixing, neardup, quality, toxicity, urls, warc
+from mapql.llm import decontaminate, exact, html, lines, mixing, neardup, quality, tokens, toxicity, urls, warc
 from mapql.runtime import new_shared_path
 
 SCHEMA = "doc_id long, text string, source string, score double, _taken int, host string, n_hit long"
@@ -95,3 +96,23 @@ def test_pages(spark, rows):
         assert (found[1]["rule"], found[1]["verdict"]) == ("example.org/en/1", "block") and found[3]["rule"] is None and found[None]["rule"] == "com/de/"
         kinds = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in planned)
         assert kinds == sorted([("1", "response", None), ("2", "revisit", 1), ("2", "revisit", 1), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("None", "revisit", 1)])
+
+
+def test_workers_give_memory_back():
+    """Pages of freed arrays that stand between held ones go back to the system after each batch."""
+
+    def rss():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    held, seen = [], []
+
+    def run(batches):
+        for _ in batches:
+            arrays = [np.ones(4000) for _ in range(6000)]
+            held.append(arrays[::100])
+            del arrays
+            seen.append(rss())
+            yield held[-1]
+
+    assert len(list(tokens.tidy(run)(iter(range(2))))) == 2
+    assert rss() < seen[-1] - (100 << 20)
