@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,16 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+_SEED = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
+
+
+def holds(words: np.ndarray, text: str) -> bool:
+    """Whether ``xxhash64`` of a text may be in a filter, asked outside of Spark."""
+    key = xxhash.xxh64_intdigest(text.encode(), 42)
+    bit = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), _SEED) % (1 << BITS)
+    return bool(int(words[bit >> 6]) >> (bit & 63) & 1)
+
+
 def _split(df: DataFrame, key: Column, words: np.ndarray, hit: bool, change=None, schema=None) -> DataFrame:  # noqa: ANN001, PLR0913
     shared = df.sparkSession.sparkContext.broadcast(words)
     name = "_bloom_bit"

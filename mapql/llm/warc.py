@@ -136,43 +136,51 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     return cut(light.mapInArrow(write, MANIFEST))
 
 
-def parse(raw: bytes):
-    """The records of one archive, one at a time."""
-    at = 0
+def parse(raw: bytes, keep=None):  # noqa: ANN001
+    """The records of one archive, one at a time; ``keep`` tells by type, id and digest which ones."""
+    at, view = 0, memoryview(raw)
     while at < len(raw):
-        member, parts = zlib.decompressobj(31), []
+        member, parts, size = zlib.decompressobj(31), [], 1 << 11
         while not member.eof and at < len(raw):
-            step = raw[at : at + (1 << 15)]
+            step = view[at : at + size]
             parts.append(member.decompress(step))
             at += len(step) - len(member.unused_data)
+            size = min(2 * size, 1 << 15)
         data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
-        fields = dict(line.decode().split(": ", 1) for line in head.split(b"\r\n")[1:])
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+        if keep and not keep(fields["WARC-Type"], fields["WARC-Record-ID"], digest):
+            continue
         block = rest[: int(fields["Content-Length"])]
         _, _, payload = block.partition(b"\r\n\r\n")
         page, other = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
         revisit = fields["WARC-Type"] == "revisit"
-        yield (fields["WARC-Record-ID"], fields["WARC-Type"], int(page) if page else None, _unclean(fields.get("WARC-Target-URI")), fields["WARC-Date"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), None if revisit else len(payload), fields.get("WARC-Refers-To"), int(other) if other else None, None if revisit else payload)
+        yield (fields["WARC-Record-ID"], fields["WARC-Type"], int(page) if page else None, _unclean(fields.get("WARC-Target-URI")), fields["WARC-Date"], digest, None if revisit else len(payload), fields.get("WARC-Refers-To"), int(other) if other else None, None if revisit else payload)
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The records of the archives that a manifest names, each read by the task that has its row."""
-    schema = spark.createDataFrame([], RECORD).schema
-    arrow = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+def read_archives(spark: SparkSession, manifest: DataFrame, keep=None, payloads: bool = True) -> DataFrame:  # noqa: ANN001
+    """The records of the archives that a manifest names, each read by the task that has its row.
+
+    ``keep`` makes, in a task, the function that ``parse`` takes; without ``payloads`` there is no such column.
+    """
+    schema = spark.createDataFrame([], RECORD if payloads else RECORD.removesuffix(", payload binary")).schema
+    arrow = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(schema)]
 
     def read(batches):
         def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=False)], schema.names)
 
+        ours = keep and keep()
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, name = _filesystem(path)
                 with fs.open_input_stream(name, compression=None) as archive:
                     raw = archive.read()
                 rows, size = [], 0
-                for record in parse(raw):
-                    rows.append(record)
-                    size += len(record[-1] or b"")
+                for record in parse(raw, ours):
+                    rows.append(record if payloads else record[:-1])
+                    size += len(record[-1] or b"") if payloads else 1 << 10
                     if size > 4 << 20:
                         yield out(rows)
                         rows, size = [], 0
@@ -205,8 +213,9 @@ def deduplicate(spark: SparkSession, manifest: DataFrame, target: str, least: in
     that has one, or are responses where none has. A revisit of the input whose original is there counts as a record
     with that payload; one without is dropped, as its payload is nowhere.
     """
-    records = read_archives(spark, manifest)
-    heads = cut(resolve(records.drop("payload")).where("payload_bytes IS NOT NULL").drop("record_type", "date", "refers_to"))
+    # archives are read once for their headers, which are asked several times
+    records = cut(read_archives(spark, manifest, payloads=False))
+    heads = cut(resolve(records).where("payload_bytes IS NOT NULL").drop("record_type", "date", "refers_to"))
     found = cut(originals(heads, least).withColumnRenamed("payload_digest", "d"))
     repeated = bloom.build(found.select(F.xxhash64("d").alias("k")), "k")
     met, single = bloom.divide(heads, F.xxhash64("payload_digest"), repeated)
@@ -216,10 +225,18 @@ def deduplicate(spark: SparkSession, manifest: DataFrame, target: str, least: in
     # payloads stay where they are read, but for those of which there are more: of these, one of each travels
     kept = decided.where(~again).withColumn("source", F.coalesce("refers_to_id", "record_id"))
     wanted = bloom.build(kept.select(F.xxhash64("source").alias("k")), "k")
-    whole = records.where("record_type = 'response'")
-    moved = bloom.divide(whole, F.xxhash64("record_id"), wanted)[0].select(F.col("record_id").alias("source"), "payload")
-    moved = kept.join(moved, "source")
-    alone = bloom.divide(whole, F.xxhash64("payload_digest"), repeated)[1]
+    wanted, repeated = (spark.sparkContext.broadcast(words) for words in (wanted, repeated))
+
+    def original():
+        held = wanted.value
+        return lambda kind, own, _: kind == "response" and bloom.holds(held, own)
+
+    def unique():
+        held = repeated.value
+        return lambda kind, _, digest: kind == "response" and not bloom.holds(held, digest)
+
+    moved = kept.join(read_archives(spark, manifest, original).select(F.col("record_id").alias("source"), "payload"), "source")
+    alone = read_archives(spark, manifest, unique)
     responses = [x.select(_fresh("record_id"), "page_id", "url", "payload_digest", "payload_bytes", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_id"), "payload") for x in (moved, alone)]
     return write_archives(responses[0].unionByName(responses[1]).unionByName(revisits), target)
 
@@ -235,7 +252,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = write_archives(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     second = deduplicate(spark, first, again)
     delete_path(spark, folder)
-    heads = cut(read_archives(spark, second).drop("payload"))
+    heads = cut(read_archives(spark, second, payloads=False))
     delete_path(spark, again)
     return resolve(heads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

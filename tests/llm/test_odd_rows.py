@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mapql.llm import decontaminate, exact, html, lines, mixing, neardup, quality, tokens, toxicity, urls, warc
+from mapql.llm import bloom, decontaminate, exact, html, lines, mixing, neardup, quality, tokens, toxicity, urls, warc
 from mapql.runtime import new_shared_path
 
 SCHEMA = "doc_id long, text string, source string, score double, _taken int, host string, n_hit long"
@@ -116,3 +117,20 @@ def test_workers_give_memory_back():
 
     assert len(list(tokens.tidy(run)(iter(range(2))))) == 2
     assert rss() < seen[-1] - (100 << 20)
+
+
+def test_filter_asked_outside_of_spark(spark):
+    texts = [f"<urn:uuid:{i}>" for i in range(300)] + ["", "é" * 40, "x" * 200]
+    words = bloom.build(spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("k")), "k")
+    assert all(bloom.holds(words, t) for t in texts) and sum(bloom.holds(words, t + "?") for t in texts) < 3
+
+
+def test_archives_are_read_in_part(spark):
+    """Headers without payloads, and only the records that are asked for."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * 300 if i % 2 else f"{i} " * 200) for i in range(40)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.captures(pages), new_shared_path(spark, "warc"))
+    heads = warc.read_archives(spark, manifest, payloads=False)
+    assert "payload" not in heads.columns and {r["payload_bytes"] for r in heads.collect()} == {300, 400, 600}
+    digest = heads.where("page_id = 3").first()["payload_digest"]
+    some = warc.read_archives(spark, manifest, lambda: lambda kind, own, d: kind == "response" and d == digest)
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in some.collect()) == [(i, b"x" * 300) for i in range(1, 40, 2)]
