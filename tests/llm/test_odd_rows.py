@@ -134,3 +134,19 @@ def test_archives_are_read_in_part(spark):
     digest = heads.where("page_id = 3").first()["payload_digest"]
     some = warc.read_archives(spark, manifest, lambda: lambda kind, own, d: kind == "response" and d == digest)
     assert sorted((r["page_id"], bytes(r["payload"])) for r in some.collect()) == [(i, b"x" * 300) for i in range(1, 40, 2)]
+
+
+@pytest.mark.parametrize("vocabulary", [50, 3000])
+def test_many_sets_at_once(vocabulary):
+    """Orders by rarity and comparisons of many pairs are those of one set after the other."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, vocabulary, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(words[rng.integers(0, vocabulary, rng.integers(0, 40))]) for _ in range(500)]
+    values, at, counts = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), rng.integers(0, 3, 1 << lines.BUCKET_BITS)
+    often = counts[(values >> np.uint64(64 - lines.BUCKET_BITS)).astype(np.int64)]
+    want = np.concatenate([values[a:b][np.lexsort((values[a:b], often[a:b]))] for a, b in zip(at, at[1:], strict=False)])
+    assert (lines.in_rarity(values, at, counts) == want).all()
+    some = [s for s in sets if len(s)]
+    x, y = some[:200], [np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], b[:2]))) for a, b in zip(some[:200], some[200:], strict=False)]
+    got = lines.reach(np.concatenate(x), np.array([len(s) for s in x]), np.concatenate(y), np.array([len(s) for s in y]), 80)
+    assert got.tolist() == [100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for a, b in zip(x, y, strict=True)] and 0 < got.sum() < 200
